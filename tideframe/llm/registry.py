@@ -1,11 +1,16 @@
 """The queries of this subpackage and the SQL that states their results, where SQL can."""
 
-from tideframe.llm import quality
+from tideframe.llm import language, mixing, pages, quality, tokens
 
 QUERIES = {
     "op3_quality_rules": quality.query,
+    "op4_language_id": language.query,
+    "op5_source_mixing": mixing.query,
+    "op8_token_counts": tokens.query,
+    "op9_main_text": pages.query,
 }
 
 ORACLES = {
     "op3_quality_rules": quality.oracle_sql,
+    "op5_source_mixing": mixing.oracle_sql,
 }
