@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that states their results, where SQL can."""
 
-from tideframe.llm import language, mixing, pages, quality, tokens
+from tideframe.llm import language, mixing, pages, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": language.query,
     "op5_source_mixing": mixing.query,
