@@ -1,12 +1,14 @@
 """The queries of this subpackage and the SQL that states their results, where SQL can."""
 
-from tideframe.llm import language, mixing, pages, quality, tokens, toxicity
+from tideframe.llm import decontaminate, language, mixing, neardup, pages, quality, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_near_duplicates": neardup.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": language.query,
     "op5_source_mixing": mixing.query,
+    "op7_decontamination": decontaminate.query,
     "op8_token_counts": tokens.query,
     "op9_main_text": pages.query,
 }
