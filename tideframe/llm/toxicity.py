@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tideframe.llm.common import arrow_map, remainder, table
 
 SAMPLE = 5_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 12 << 20
 WINDOW = 64
 COMMON_BYTES = 32_768
 CLASS_BYTES = 16_384
@@ -170,7 +170,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     for y in toxic:  # both halves get both classes
         side.append(turn[y] % 2)
         turn[y] += 1
-    found = [set(windows(t or "")) for t in texts]
+    pool: dict[str, str] = {}  # one object for equal windows: the driver holds each spelling once
+    found = [{pool.setdefault(w, w) for w in windows(t or "")} for t in texts]
     halves = [_dictionaries([f for f, s in zip(found, side) if s == h], [y for y, s in zip(toxic, side) if s == h], prior) for h in (0, 1)]
     seen = {y: np.zeros((LONGEST + 1, HIGH - LOW + 1)) for y in (0, 1)}
     for t, y, s in zip(texts, toxic, side):
@@ -183,6 +184,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         half.evidence = evidence
 
     x = np.array([halves[1 - s].features(t) for t, s in zip(texts, side)])
+    halves.clear()
     y = np.array(toxic, float)
     curve = np.zeros(x.shape[1])
     ridge = np.diag([1e-6] + [0.5] * (x.shape[1] - 1))
