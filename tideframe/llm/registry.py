@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that states their results, where SQL can."""
 
-from tideframe.llm import decontaminate, language, mixing, neardup, pages, quality, tokens, toxicity
+from tideframe.llm import decontaminate, language, mixing, neardup, pages, quality, suffix_tree, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op10_suffix_tree_score": suffix_tree.query,
     "op2_near_duplicates": neardup.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": language.query,
