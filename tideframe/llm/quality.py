@@ -123,7 +123,9 @@ def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES)
     """The rows of df whose text passes, with all their columns and no others."""
     packed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), df[f"`{text_col}`"].alias("_raw"))
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    return _measures(packed, "_raw").where(~failed & compiled(rules)).select("_row.*")
+    # a plain filter would be pushed below the measures, with a copy of them for each of its terms
+    passed = F.when(~failed & compiled(rules), F.array("_row"))
+    return _measures(packed, "_raw").select(F.explode(passed).alias("_row")).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
