@@ -65,7 +65,8 @@ def read_committed(batches: DataFrame, aborted: DataFrame, markers: DataFrame) -
     s = spans(aborted, markers).select(F.col("partition").alias("_p"), F.col("producer").alias("_r"), "first", "marker")
     data = batches.where(~F.col("control"))
     inside = (
-        (data.partition == s._p) & (data.producer == s._r) & data.transactional & (data.offset >= s["first"]) & (s.marker.isNull() | (data.offset < s.marker))
+        (data["partition"] == s["_p"]) & (data["producer"] == s["_r"]) & data["transactional"]
+        & (data["offset"] >= s["first"]) & (s["marker"].isNull() | (data["offset"] < s["marker"]))
     )
     return data.join(s, inside, "left_anti")
 
