@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_INFLATED = 64 << 20
 
@@ -48,7 +49,7 @@ def wire_header(payload: Column, headers: Column, part: str = "value") -> Column
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflate(body: pd.Series) -> pd.Series:
     """zlib bodies unpacked; null where they are broken or unpack to more than 64 MiB."""
 

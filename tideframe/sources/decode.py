@@ -105,7 +105,7 @@ class Avro:
         kind = s if isinstance(s, str) else s["type"]
         logical = None if isinstance(s, str) else s.get("logicalType")
         if kind == "record":
-            if s["full"] in within or self._recursive(s, s["full"], ()):
+            if s["full"] in within or within and self._recursive(s, s["full"], ()):
                 return T.StringType()
             inner = [T.StructField(f["name"], self.column_type(f["type"], (*within, s["full"])), True, {"identity": f["name"], "aliases": f.get("aliases", [])}) for f in s["fields"]]
             return T.StructType(inner)
@@ -149,14 +149,13 @@ class Avro:
 
     def _read(self, r: _Reader, s, to: T.DataType | None):
         s = self._of(s)
-        text = isinstance(to, T.StringType) and self._as_json(s)
-        if text:
-            return compact(self._json(r, s))
-        if isinstance(s, list):
+        if isinstance(s, list) and len(s) == 2 and "null" in s:
             k = r.long()
             if not 0 <= k < len(s):
                 raise Undecodable("no such branch")
             return None if s[k] == "null" else self._read(r, s[k], to)
+        if isinstance(to, T.StringType) and self._as_json(s):
+            return compact(self._json(r, s))
         kind = s if isinstance(s, str) else s["type"]
         logical = None if isinstance(s, str) else s.get("logicalType")
         if kind == "record":
@@ -184,11 +183,12 @@ class Avro:
         return v
 
     def _as_json(self, s) -> bool:
+        """Whether a schema whose column is a string is written there as JSON."""
         s = self._of(s)
         if isinstance(s, list):
-            return not (len(s) == 2 and "null" in s) or (len(s) == 2 and self._as_json(next(x for x in s if x != "null")))
+            return True
         kind = s if isinstance(s, str) else s["type"]
-        return kind in ("record", "array", "map", "null") or not isinstance(s, str) and s.get("logicalType") in ("big-decimal",) or kind in ("bytes", "fixed")
+        return kind in ("record", "array", "map", "null", "bytes", "fixed")
 
     def _blocks(self, r: _Reader):
         while n := r.long():
@@ -439,7 +439,7 @@ class Protobuf:
             n = r.long()
             path = [r.long() for _ in range(n)] if n else [0]
             data = data[r.at :]
-            if path != [self.message.index]:
+            if path != self._index():
                 raise Undecodable("another message of the schema")
         m = self.make()
         try:
@@ -448,6 +448,15 @@ class Protobuf:
             raise Undecodable(str(e)) from e
         return self._value(m, self.column_type())
 
+    def _index(self) -> list[int]:
+        """The message's place in its file, from the outermost message in."""
+        m, path = self.message, []
+        while m:
+            around = m.containing_type.nested_types if m.containing_type else m.file.message_types_by_name.values()
+            path.insert(0, [x.full_name for x in around].index(m.full_name))
+            m = m.containing_type
+        return path
+
     def _value(self, m, to: T.StructType) -> dict:
         out = {}
         for f in m.DESCRIPTOR.fields:
