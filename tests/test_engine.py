@@ -93,3 +93,22 @@ def test_tables(engine):
     engine.detach("b")
     assert engine.attach("c", "/x/y/z") == 1
     assert engine.load("b").count() == 0
+
+
+def test_broken_tiering_is_finished_or_undone(engine, spark, small):
+    from tideframe.operators import tiering
+
+    log = events_log(spark, small).where("_kafka_offset < 60")
+    engine.add_table("events", 4, file_bytes=1 << 10, file_window_ms=400 * DAY, granularity="month")
+    engine.ingest("events", log, now_ms=1)
+    engine.attach("events", engine.warehouse + "/history")
+    assert engine.recover_tier("events", 2) == {}
+    planned = {p: 60 for p in range(4)}
+    engine._change("events", tiering={str(p): e for p, e in planned.items()})
+    tiering.write_history(log.where("_kafka_partition < 2"), engine.warehouse + "/history", [], [])
+    assert engine.recover_tier("events", 3) == {} and keys(engine.load("events")) == keys(log)
+    assert spark.read.parquet(engine.table("events")["history"]["location"]).count() == 0
+    engine._change("events", tiering={str(p): e for p, e in planned.items()})
+    tiering.write_history(log, engine.table("events")["history"]["location"], [], [])
+    assert engine.recover_tier("events", 4) == planned
+    assert engine.load("events", "stream").count() == 0 and keys(engine.load("events")) == keys(log)

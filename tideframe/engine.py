@@ -15,6 +15,7 @@ import uuid
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -416,7 +417,41 @@ class Engine:
             new[f.partition] = f.end
         log = self.load(topic, "stream", s["id"])
         take = reduce(lambda a, b: a | b, [(F.col("_kafka_partition") == f.partition) & (F.col("_kafka_offset") >= f.start) & (F.col("_kafka_offset") < f.end) for f in flushes])
+        self._change(topic, tiering={str(p): e for p, e in new.items()})
         tiering.write_history(log.where(take), t["history"]["location"], partition or [], sort or [], **properties)
-        self._change(topic, history={"location": t["history"]["location"], "ends": {str(p): e for p, e in new.items()}})
+        return self._settle(topic, new, now_ms)
+
+    def _settle(self, topic: str, ends: dict[int, int], now_ms: int) -> dict[int, int]:
+        """Commit the history's new ends; from this snapshot on the log is cut there."""
+        t, s = self.table(topic), self._latest(topic)
+        self._change(topic, history={"location": t["history"]["location"], "ends": {str(p): e for p, e in ends.items()}}, tiering=None)
         self._snapshot(topic, s["id"] + 1, s["offsets"], [], now_ms)
-        return new
+        return ends
+
+    def recover_tier(self, topic: str, now_ms: int) -> dict[int, int]:
+        """Finish or undo a tiering that broke off between its write and its commit.
+
+        A write that is whole (the history holds every record of the planned ranges) is committed. Of
+        any other nothing can be read, since the ends did not move; its rows are taken out again."""
+        t, s = self.table(topic), self._latest(topic)
+        ends = {int(p): e for p, e in t["history"]["ends"].items()}
+        planned = {int(p): e for p, e in (t.get("tiering") or {}).items()}
+        if not planned:
+            return ends
+        past = reduce(lambda a, b: a | b, [(F.col("_kafka_partition") == p) & (F.col("_kafka_offset") >= ends.get(p, 0)) & (F.col("_kafka_offset") < e) for p, e in planned.items()])
+        count = lambda df: (df.count(), df.select("_kafka_partition", "_kafka_offset").distinct().count())
+        want = self.load(topic, "stream", s["id"]).where(past).count()
+        try:
+            lake = self.spark.read.parquet(t["history"]["location"])
+            found = count(lake.where(past))
+        except AnalysisException:
+            lake, found = None, (0, 0)
+        if found == (want, want):
+            return self._settle(topic, planned, now_ms)
+        if found[0]:
+            location = f"{t['history']['location']}-{uuid.uuid4().hex}"
+            names = [c for c in lake.columns if c.startswith("_part_")]
+            lake.where(~past).write.partitionBy(*names).parquet(location)
+            self._change(topic, history={"location": location, "ends": t["history"]["ends"]})
+        self._change(topic, tiering=None)
+        return ends

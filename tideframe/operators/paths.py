@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from dataclasses import dataclass
 
 _NAME = re.compile(
@@ -52,3 +53,8 @@ def tail_snapshot_id(offsets: list[tuple[int, int, int]]) -> int:
     """Id of an uncommitted snapshot, the same for the same (partition, start, end) offsets."""
     digest = hashlib.sha256("".join(f"{p}:{a}:{b}\n" for p, a, b in sorted(offsets)).encode()).digest()
     return (1 << 62) + (int.from_bytes(digest[:8]) & ((1 << 62) - 1))
+
+
+def view_id(topic_id: str, view: str) -> str:
+    """Id of a view of a topic: the same for the same topic, another for each view."""
+    return str(uuid.uuid5(uuid.UUID(topic_id), view))

@@ -80,7 +80,8 @@ def laid_out(df: DataFrame, partition: list[str], sort: list[str], splits: int =
     if splits > 1:
         by.append(F.pmod(F.xxhash64(*df.columns), F.lit(splits)))
     out = out.repartition(*by) if by else out
-    return out.sortWithinPartitions(*names, *[t.order(df.schema) for t in orders])
+    order = [*names, *[t.order(df.schema) for t in orders]]
+    return out.sortWithinPartitions(*order) if order else out
 
 
 def write_options(codec: str = "zstd", level: int | None = None, group_bytes: int | None = None, page_bytes: int | None = None, bloom: tuple[str, ...] = (), rows_per_file: int | None = None) -> dict[str, str]:
