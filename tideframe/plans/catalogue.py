@@ -507,9 +507,7 @@ def leases_page(spark, d):
 @named(f"""with {_LEASES} select resource, case when t then 'n1' else owner end as owner, case when t and owner is distinct from 'n1' then epoch + 1 else epoch end as epoch, case when t then 1500 else until_ms end as until_ms
     from (select *, owner is not distinct from 'n1' or owner is null or until_ms <= 500 as t from leases)""")
 def lease_claim(spark, d):
-    leases = _leases(spark, d)
-    names = [r.resource for r in leases.select("resource").collect()]  # what a node wants is its own list of names
-    return control.claim(leases, "n1", names, 500, 1000)
+    return control.claim(_leases(spark, d), "n1", None, 500, 1000)
 
 
 @named(f"""with {FILES}, r as (select distinct partition, start, case when start % 500 = 0 then "end" + 100 else "end" end as "end" from files),

@@ -119,10 +119,11 @@ def leases_page(leases: DataFrame, after: tuple[str, str | None] | None = None,
     return out.orderBy("resource", "owner").limit(limit)
 
 
-def claim(leases: DataFrame, node: str, wanted: list[str], now_ms: int, length_ms: int) -> DataFrame:
-    """Leases after a node's claim: its own are renewed; free and run-out ones change hands with a new epoch."""
+def claim(leases: DataFrame, node: str, wanted: list[str] | None, now_ms: int, length_ms: int) -> DataFrame:
+    """Leases after a node's claim (to all, if it names none): its own are renewed; free and run-out ones
+    change hands with a new epoch."""
     own, free = F.col("owner").eqNullSafe(F.lit(node)), F.col("owner").isNull() | (F.col("until_ms") <= now_ms)
-    takes = F.col("resource").isin(wanted) & (own | free)
+    takes = own | free if wanted is None else F.col("resource").isin(wanted) & (own | free)
     return leases.select(
         "resource",
         F.when(takes, F.lit(node)).otherwise(F.col("owner")).alias("owner"),
