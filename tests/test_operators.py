@@ -300,7 +300,7 @@ def test_assembly_runs(spark):
         for b in range(3):
             run = []
             for r in [*sorted(x for x in rows if x[0] == p and x[4] == b), None]:
-                if r is None or run and (sum(x[7] for x in run) + r[7] > 500 or run[-1][2] != r[1]):
+                if r is None or run and sum(x[7] for x in run) + r[7] > 500:
                     if len(run) > 1:
                         want.add((p, b, run[0][1], run[-1][2], len(run), sum(x[7] for x in run)))
                     run = []
@@ -309,21 +309,23 @@ def test_assembly_runs(spark):
     assert got == want
 
 
-def test_tier_segments_end_between_files(spark):
+def test_tier_plans_end_between_files(spark):
     rows = some_files(random.Random(6))
     files, starts = spark.createDataFrame(rows, FILE), spark.createDataFrame([(p, 0) for p in range(3)], "partition int, start long")
-    segments = planning.tier_segments(files, starts, 1500)
-    for r in segments.collect():
+    pieces = planning.tier_pieces(files, starts, 1500)
+    segments = planning.tier_segments(pieces).orderBy("partition", "start").collect()
+    assert segments and all(a.end == b.start for a, b in zip(segments, segments[1:]) if a.partition == b.partition)
+    for r in segments:
         own = [x for x in rows if x[0] == r.partition]
         assert not any(x[1] < r.end < x[2] or x[1] < r.start < x[2] for x in own)
         inside = [x for x in own if x[1] >= r.start and x[2] <= r.end]
-        assert all(x[8] < 1500 for x in inside) and r.bytes == sum(x[7] for x in inside)
-    flushes = planning.tier_flushes(segments, 1 << 40, 700).collect()
-    assert sum(f.bytes for f in flushes) == sum(r.bytes for r in segments.collect())
-    small = planning.tier_flushes(segments, -1, 700).collect()
-    assert all(f.bytes >= 700 for f in small) and all(f.reads >= 1 for f in flushes)
-    w = segments.orderBy("partition", "start").collect()
-    assert all(a.end == b.start for a, b in zip(w, w[1:]) if a.partition == b.partition)
+        assert all(x[8] < 1500 for x in inside) and r.bytes <= sum(x[7] for x in inside)
+    flushes = planning.tier_flushes(pieces, 1 << 40, 700).orderBy("partition", "start").collect()
+    assert sum(f.bytes for f in flushes) == sum(r.bytes for r in segments)
+    for f in flushes:
+        assert f.reads[0].start == f.start and f.reads[-1].end == f.end and all(a.end == b.start for a, b in zip(f.reads, f.reads[1:]))
+    assert all(f.bytes >= 700 for f in planning.tier_flushes(pieces, -1, 700).collect())
+    assert planning._reads([(0, 10, 100), (10, 12, 10), (12, 40, 95)], 40) == [(0, 4), (4, 8), (8, 10), (10, 12), (12, 22), (22, 32), (32, 40)]
 
 
 def test_expiry_and_retention(spark):
@@ -337,6 +339,7 @@ def test_expiry_and_retention(spark):
     assert ids(planning.expired_snapshots(snaps, offs, 10**6, 0, none)) == [1, 2, 3, 4, 5]
     files = spark.createDataFrame([(0, 0, 10), (0, 4, 10), (0, 10, 20), (0, 20, 30)], "partition int, start long, end long")
     assert planning.retained_starts(files, earliest).first().start == 10
+    assert planning.retained_starts(files, spark.createDataFrame([(0, 25)], "partition int, earliest long")).first().start == 30
 
 
 def test_overlaps_and_locations(spark):

@@ -358,6 +358,8 @@ class Engine:
         """Put files of ended buckets together; readers of earlier snapshots still see the parts."""
         t, s = self.table(topic), self._latest(topic)
         files = planning.files_of(self.files(topic), self.offsets(topic), s["id"])
+        for p, end in (t["history"] or {"ends": {}})["ends"].items():  # what is tiered is not put together any more
+            files = files.where((F.col("partition") != int(p)) | (F.col("start") >= end))
         last = s["id"]
         for spec, grain in enumerate(t["specs"]):
             if grain == "none":
@@ -408,8 +410,8 @@ class Engine:
         ends = {int(p): e for p, e in t["history"]["ends"].items()}
         starts = self.spark.createDataFrame([(int(p), ends.get(int(p), a)) for p, (a, _) in s["offsets"].items()], "partition int, start long")
         files = planning.files_of(self.files(topic), self.offsets(topic), s["id"])
-        segments = planning.tier_segments(files, starts, now_ms - t["config"]["tier_after_ms"])
-        flushes = planning.tier_flushes(segments, now_ms - t["config"]["tier_after_ms"], t["config"]["tier_bytes"]).collect()
+        pieces = planning.tier_pieces(files, starts, now_ms - t["config"]["tier_after_ms"])
+        flushes = planning.tier_flushes(pieces, now_ms - t["config"]["tier_after_ms"], t["config"]["tier_bytes"]).collect()
         if not flushes:
             return ends
         new = dict(ends)

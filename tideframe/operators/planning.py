@@ -52,21 +52,20 @@ def commit_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 def assembly_runs(files: DataFrame, most_bytes: int, ended: Column) -> DataFrame:
     """Files to be put together: partition, spec, bucket, schema, run, start, end, files, records, bytes.
 
-    Within a partition, time bucket and schema, files follow one another in a run up to most_bytes; a
-    run needs two files. ended says which files' buckets are over."""
+    Within a partition, time bucket and schema, files follow one another in a run up to most_bytes; other
+    buckets' files may lie between them. A run needs two files. ended says whose buckets are over."""
     keys = ["partition", "spec", "bucket", "schema"]
 
     def fold(batches):
-        at, run, size, last = None, -1, 0, None
+        at, run, size = None, -1, 0
         for pdf in batches:
             runs = []
             for row in pdf[[*keys, "start", "end", "bytes"]].itertuples(index=False):
                 key = tuple(None if pd.isna(x) else x for x in row[:4])
-                if key != at or size + row.bytes > most_bytes or last != row.start:
+                if key != at or size + row.bytes > most_bytes:
                     run, size = (0 if key != at else run + 1), 0
                     at = key
                 size += row.bytes
-                last = row.end
                 runs.append(run)
             yield pdf.assign(run=pd.Series(runs, dtype="int64", index=pdf.index))
 
@@ -87,20 +86,22 @@ def expired_snapshots(snapshots: DataFrame, offsets: DataFrame, now_ms: int, ret
 
     earliest(partition, earliest): first offset that the log still has."""
     gone = offsets.join(earliest, "partition").where(F.col("start") < F.col("earliest")).select("id").distinct()
-    old = snapshots.where(F.col("committed_ms") < now_ms - retention_ms).select("id").unionByName(gone)
-    bound = old.agg(F.max("id").alias("bound"))
-    latest = snapshots.agg(F.max("id").alias("latest"))
-    return snapshots.select("id").join(F.broadcast(bound), F.col("id") <= F.col("bound")).join(F.broadcast(latest), F.col("id") < F.col("latest")).select("id")
+    latest = snapshots.agg(F.max("id")).first()[0]
+    older = snapshots.where(F.col("id") < latest) if latest is not None else snapshots
+    old = older.where(F.col("committed_ms") < now_ms - retention_ms).select("id").unionByName(gone.join(older.select("id"), "id"))
+    bound = old.agg(F.max("id")).first()[0]
+    return older.where(F.col("id") <= F.lit(bound)).select("id")
 
 
 def retained_starts(files: DataFrame, earliest: DataFrame) -> DataFrame:
-    """New start of each partition: the first file start at or behind earliest that lies inside no file.
-
-    A start inside a file cannot be one: ranges up to the start must end there."""
+    """New start of each partition: the first file start at or behind earliest that lies inside no file,
+    or the end of its files."""
     ranges = files.select("partition", "start", "end").distinct()
     before = F.max("end").over(Window.partitionBy("partition").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     clean = ranges.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") <= F.col("start")))
-    return clean.join(earliest, "partition").where(F.col("start") >= F.col("earliest")).groupBy("partition").agg(F.min("start").alias("start"))
+    found = clean.join(earliest, "partition").where(F.col("start") >= F.col("earliest")).groupBy("partition").agg(F.min("start").alias("_s"))
+    ends = ranges.join(earliest.select("partition"), "partition", "left_semi").groupBy("partition").agg(F.max("end").alias("_e"))
+    return ends.join(found, "partition", "left").select("partition", F.coalesce("_s", "_e").alias("start"))
 
 
 def collectable(objects: DataFrame, referenced: DataFrame, now_ms: int, grace_ms: int) -> DataFrame:
@@ -108,56 +109,76 @@ def collectable(objects: DataFrame, referenced: DataFrame, now_ms: int, grace_ms
     return objects.where(F.col("modified_ms") < now_ms - grace_ms).join(referenced.select("path"), "path", "left_anti")
 
 
-def tier_segments(files: DataFrame, starts: DataFrame, cutoff_ms: int) -> DataFrame:
-    """Pieces of each partition that may be tiered: partition, start, end, bytes, first_ts_ms.
+def tier_pieces(files: DataFrame, starts: DataFrame, cutoff_ms: int) -> DataFrame:
+    """Pieces of each partition that may be tiered: partition, segment, start, end, bytes, first_ts_ms.
 
-    From the partition's tier end (starts(partition, start)) on, up to the first file that is too new,
-    cut where no file spans the boundary."""
-    w = Window.partitionBy("partition").orderBy("start", "end")
+    From the partition's tier end (starts(partition, start)) on, up to the first file that is too new.
+    A piece is what a file adds to the offsets before it (files of one range add nothing after the
+    first). Segments are cut where no file spans the boundary; one that a newer file reaches into waits."""
+    w = Window.partitionBy("partition").orderBy("start", "end", "first_ts_ms")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     f = files.join(starts.withColumnRenamed("start", "from"), "partition").where(F.col("start") >= F.col("from"))
-    f = f.withColumn("_new", F.max((F.col("first_ts_ms") >= cutoff_ms).cast("int")).over(w))
-    f = f.where(F.col("_new") == 0)
+    f = f.withColumn("_new", F.max((F.col("first_ts_ms") >= cutoff_ms).cast("int")).over(so_far))
+    newest = f.where("_new = 1").groupBy("partition").agg(F.min("start").alias("_reach"))
+    f = f.where("_new = 0")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    f = f.withColumn("_cut", (before.isNull() | (before <= F.col("start"))).cast("int"))
-    f = f.withColumn("segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = f.groupBy("partition", "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("bytes").alias("bytes"), F.min("first_ts_ms").alias("first_ts_ms"))
-    # a file that is too new may lie inside the last segment: such a segment waits
-    newer = files.where(F.col("first_ts_ms") >= cutoff_ms).select("partition", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (out.partition == newer.partition) & overlaps(out.start, out.end, newer["_s"], newer["_e"])
-    return out.join(newer, inside, "left_anti").drop("segment")
+    f = f.withColumn("_before", F.coalesce(before, F.col("from")))
+    f = f.withColumn("segment", F.sum((F.col("_before") <= F.col("start")).cast("int")).over(so_far))
+    tops = f.groupBy("partition", "segment").agg(F.max("end").alias("_top")).join(newest, "partition", "left").where("_reach is null or _reach >= _top")
+    pieces = f.join(tops.select("partition", "segment"), ["partition", "segment"], "left_semi")
+    adds = F.col("end") > F.col("_before")
+    return pieces.select(
+        "partition", "segment", F.greatest("start", "_before").alias("start"), F.greatest("end", "_before").alias("end"),
+        F.when(adds, F.col("bytes")).otherwise(0).alias("bytes"), "first_ts_ms",
+    )
+
+
+def tier_segments(pieces: DataFrame) -> DataFrame:
+    """partition, start, end, bytes, first_ts_ms of each segment of tier_pieces."""
+    out = pieces.groupBy("partition", "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("bytes").alias("bytes"), F.min("first_ts_ms").alias("first_ts_ms"))
+    return out.drop("segment")
+
+
+def _reads(pieces: list[tuple[int, int, int]], limit: int) -> list[tuple[int, int]]:
+    """Offset ranges in which (start, end, bytes) are read: at most limit bytes each, large pieces in even parts."""
+    out: list[list[int]] = []
+    for start, end, size in pieces:
+        parts = max(1, min(-(-size // max(limit, 1)), end - start))
+        step = -(-(end - start) // parts)
+        for a in range(start, end, step):
+            b, share = min(a + step, end), size // parts
+            if out and out[-1][1] == a and out[-1][2] + share <= limit:
+                out[-1][1], out[-1][2] = b, out[-1][2] + share
+            else:
+                out.append([a, b, share])
+    return [(a, b) for a, b, _ in out]
 
 
-def tier_flushes(segments: DataFrame, overdue_ms: int, limit: int) -> DataFrame:
-    """partition, flush, start, end, bytes, reads of the tier's next writes.
+def tier_flushes(pieces: DataFrame, overdue_ms: int, limit: int) -> DataFrame:
+    """partition, flush, start, end, bytes, reads (offset ranges) of the tier's next writes.
 
-    Segments gather until limit bytes; what is left is flushed only if some of it is overdue. A flush
-    is read in pieces of at most limit bytes, a larger segment in even pieces."""
+    Segments gather until limit bytes; what is left is flushed only if some of it is overdue."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], []
+        out, held, size, oldest = [], [], 0, None
 
         def flush() -> None:
-            size = sum(r.bytes for r in held)
-            pieces, room = 0, 0
-            for r in held:
-                if r.bytes > limit:
-                    pieces, room = pieces + -(-int(r.bytes) // limit), 0
-                elif pieces and r.bytes <= room:
-                    room -= r.bytes
-                else:
-                    pieces, room = pieces + 1, limit - r.bytes
-            out.append((held[0].partition, len(out), held[0].start, held[-1].end, int(size), pieces))
-            held.clear()
-
-        for r in pdf.sort_values("start").itertuples(index=False):
-            held.append(r)
-            if sum(x.bytes for x in held) >= limit:
+            own = [x for x in held if x[0] < x[1]]
+            out.append((int(pdf["partition"].iloc[0]), len(out), own[0][0], own[-1][1], size, [{"start": a, "end": b} for a, b in _reads(own, limit)]))
+
+        for _, segment in pdf.sort_values(["segment", "start", "end"]).groupby("segment"):
+            held += [(int(r.start), int(r.end), int(r.bytes)) for r in segment.itertuples()]
+            size += int(segment["bytes"].sum())
+            first = int(segment["first_ts_ms"].min())
+            oldest = first if oldest is None else min(oldest, first)
+            if size >= limit:
                 flush()
-        if held and min(r.first_ts_ms for r in held) < overdue_ms:
+                held, size, oldest = [], 0, None
+        if held and oldest < overdue_ms:
             flush()
         return pd.DataFrame(out, columns=["partition", "flush", "start", "end", "bytes", "reads"])
 
-    return segments.groupBy("partition").applyInPandas(fold, "partition int, flush long, start long, end long, bytes long, reads long")
+    return pieces.groupBy("partition").applyInPandas(fold, "partition int, flush long, start long, end long, bytes long, reads array<struct<start:long,end:long>>")
 
 
 def tier_lag(files: DataFrame, ends: DataFrame) -> DataFrame:
@@ -166,9 +187,9 @@ def tier_lag(files: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def contiguous(ranges: DataFrame, ends: DataFrame) -> DataFrame:
-    """The ranges(partition, start, end) of each partition that follow its tier end without a gap."""
+    """The ranges(partition, start, end) of each partition behind its tier end that follow one another without a gap."""
     w = Window.partitionBy("partition").orderBy("start")
     r = ranges.join(ends, "partition").where(F.col("start") >= F.col("tier_end"))
-    before = F.coalesce(F.lag("end").over(w), F.col("tier_end"))
-    r = r.withColumn("_gap", (F.col("start") != before).cast("int"))
+    before = F.lag("end").over(w)
+    r = r.withColumn("_gap", (before.isNotNull() & (F.col("start") != before)).cast("int"))
     return r.withColumn("_gaps", F.sum("_gap").over(w)).where(F.col("_gaps") == 0).drop("_gap", "_gaps", "tier_end")

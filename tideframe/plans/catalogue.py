@@ -303,7 +303,7 @@ _RUNS = f"""{FILES}, f as (select *, row_number() over (partition by partition,
     runs(partition, bucket, n, start, "end", size, run) as (
       select partition, bucket, n, start, "end", bytes, 0 from f where n = 1
       union all select f.partition, f.bucket, f.n, f.start, f."end",
-        case when r.size + f.bytes > 9000 or r."end" <> f.start then f.bytes else r.size + f.bytes end, r.run + (r.size + f.bytes > 9000 or r."end" <> f.start)::int
+        case when r.size + f.bytes > 9000 then f.bytes else r.size + f.bytes end, r.run + (r.size + f.bytes > 9000)::int
       from runs r join f on f.partition = r.partition and f.bucket = r.bucket and f.n = r.n + 1)"""
 
 
@@ -354,7 +354,7 @@ def expired_snapshots(spark, d):
     return planning.expired_snapshots(s, demo.offsets(spark, d), now, 86_400_000, none)
 
 
-@named(f'with {FILES} select partition, min(start) as start from (select distinct partition, start from files) where start >= 300 group by partition')
+@named(f'with {FILES} select partition, coalesce(min(start) filter (start >= 300), max("end")) as start from files group by partition')
 def retention_trim(spark, d):
     earliest = spark.createDataFrame([(p, 300) for p in range(4)], "partition int, earliest long")
     return planning.retained_starts(demo.files(spark, d), earliest)
@@ -373,7 +373,8 @@ def tier_flushes(spark, d):
     f = demo.files(spark, d)
     cutoff = f.agg(F.expr("percentile(first_ts_ms, 0.7)")).first()[0]
     starts = spark.createDataFrame([(p, 0) for p in range(4)], "partition int, start long")
-    return planning.tier_flushes(planning.tier_segments(f, starts, int(cutoff)), int(cutoff), 12_000)
+    flushes = planning.tier_flushes(planning.tier_pieces(f, starts, int(cutoff)), int(cutoff), 12_000)
+    return flushes.select("partition", "flush", "start", "end", "bytes", F.size("reads").alias("reads"))
 
 
 @named(f"with {FILES} select partition, min(first_ts_ms) as oldest_untiered_ms from files where start >= 500 group by partition")
