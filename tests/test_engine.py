@@ -1,7 +1,5 @@
-import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from tideframe.engine import Conflict, Engine
 from tideframe.operators.pruning import Domain

@@ -3,11 +3,9 @@
 import datetime as dt
 import decimal
 import hashlib
-import json
 import random
 import struct
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
