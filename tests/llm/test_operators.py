@@ -124,7 +124,6 @@ def test_language(spark):
     # the bundle is the sum of bound, permuted letter vectors
     text, d = "ab1 Ba", language.DIMENSIONS
     v = {c: language.letter_vector(ord(c) if c != " " else 0, d).astype(int) for c in "ab "}
-    want = sum(np.roll(v[x], 2) * np.roll(v[y], 1) * v[z] for x, y, z in zip(" ab ba", "ab ba ", "b ba  "[0:5] + " "))
     padded = " ab ba "
     want = sum(np.roll(v[padded[i]], 2) * np.roll(v[padded[i + 1]], 1) * v[padded[i + 2]] for i in range(len(padded) - 2))
     assert np.array_equal(language.profiles([text])[0], want)
