@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = "8m"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine with the settings that the engine expects (UTC, adaptive execution)."""
@@ -28,8 +31,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the session's Python workers, once for each Spark context.
 
-    Spark serves the archive to the executors; they need no installed copy."""
+    Spark serves the archive to the executors; they need no installed copy. Arrow batches that still
+    have Spark's default bound of 64 MB are bounded by ``ARROW_BYTES``, for the workers' memory."""
     context = spark.sparkContext
+    if spark.conf.get(_ARROW, None) == "67108864b":
+        spark.conf.set(_ARROW, ARROW_BYTES)
     if getattr(context, "_tideframe_shipped", False):
         return
     root = Path(__file__).resolve().parent
