@@ -6,6 +6,7 @@ the columns of documents (the last adds copy and mix_key). Rows are judged as th
 
 from tideframe.llm import decontaminate, mixing, neardup, quality, substrings
 from tideframe.llm.common import table
+from tideframe.session import ship
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -15,11 +16,13 @@ def quality_rules(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each class of near duplicates."""
+    ship(spark)
     return neardup.keep_one(docs)
 
 
 def repeated_passages(spark, docs, sf_dir):
     """Documents without the passages that an earlier document holds already."""
+    ship(spark)
     return substrings.strip(docs)
 
 

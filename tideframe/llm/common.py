@@ -15,8 +15,9 @@ from tideframe.session import ship
 #: Bytes that end a word everywhere in this subpackage: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Texts are worked on in groups of about this many bytes, so that numpy temporaries stay small.
-GROUP_BYTES = 1 << 21
+#: Texts are worked on in groups of this many bytes at most, so that numpy temporaries stay small; a longer
+#: text is a group of its own. One below a power of two: tables of powers are that long.
+GROUP_BYTES = (1 << 20) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

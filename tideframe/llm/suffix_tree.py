@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import arrow_map, by_bytes, remainder, stored, table, text_bytes
+from tideframe.llm.common import arrow_map, by_bytes, discard, remainder, stored, table, text_bytes
 
 DEPTH = 5
 LEAST_SHARE = 5e-6
@@ -42,7 +42,7 @@ MOST_STATES = 65_535
 #: Words that are looked up in each task; the others are joined.
 FREQUENT_WORDS = 65_536
 #: Distinct runs that a task holds before it hands them on.
-HELD_RUNS = 2_000_000
+HELD_RUNS = 1_000_000
 PIECE = 128
 END = 10
 _MASK = [np.uint64((1 << (8 * (k + 1))) - 1) for k in range(DEPTH + 1)]
@@ -80,7 +80,7 @@ def count_runs(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = text_bytes(batch.column(0))
-            for a, b in by_bytes(texts, 1 << 22):
+            for a, b in by_bytes(texts):
                 codes, n = np.unique(_runs(texts[a:b]), return_counts=True)
                 codes, where = np.unique(np.concatenate((held[0], codes)), return_inverse=True)
                 held = codes, np.bincount(where, np.concatenate((held[1], n))).astype(np.int64)
@@ -107,6 +107,7 @@ def candidates(runs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         codes, n = rows["run"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.float64)
         order = np.argsort(codes)
         out.append((codes[order], n[order]))
+    discard(runs)
     return out
 
 
@@ -173,7 +174,7 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         if c[0]:
             parent = dist[suffix(c)]
             to, n = nexts[c]
-            dist[c] = smoothed(nexts[c], parent)
+            dist[c] = smoothed(nexts[c], parent).astype(np.float32)
             gains.append((float((n * np.log(n / n.sum() / parent[to])).sum()), c))
     gains.sort(key=lambda x: (-x[0], x[1]))
     for gain, c in gains:
