@@ -233,6 +233,28 @@ def test_near_duplicates(spark):
     assert neardup.classes(frame(spark, [])).count() == 0
 
 
+def test_near_copies_without_their_original(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        at = rng.randrange(196)
+        w[at : at + 8] = [f"e{rng.randrange(10**6)}" for _ in range(8)]
+        rows.append((i, " ".join(w)))
+    texts = [t.encode() for _, t in rows]
+    known = neardup.frequent(frame(spark, rows))
+    found = neardup.bands(texts, known)
+    near = [(i, j) for i in range(300) for j in range(i) if any(x == y for x, y in zip(found[i][: neardup.BANDS], found[j]))]
+    links = [p for p, s in zip(near, neardup.similar([texts[i] for i, _ in near], [texts[j] for _, j in near], known)) if s >= 0.8]
+    label = list(range(300))
+    for _ in rows:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert 0 < len(links) < len(near)
+    assert {r.doc_id: r.class_id for r in neardup.classes(frame(spark, rows)).collect()} == dict(enumerate(label))
+
+
 def test_weighted_sampling_agrees_as_weighted_jaccard():
     rng = random.Random(6)
     agree = total = 0
