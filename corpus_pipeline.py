@@ -5,7 +5,7 @@ the columns of documents (the last adds copy and mix_key). Rows are judged as th
 """
 
 from tideframe.llm import decontaminate, mixing, neardup, quality, substrings
-from tideframe.llm.common import table
+from tideframe.llm.common import stored, table
 from tideframe.session import ship
 
 
@@ -49,8 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir, each written as Parquet and reread as the next one's docs."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -40,6 +40,24 @@ def test_stages_and_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == at.count()
 
 
+def test_run_stores_each_stage(spark, tmp_path, monkeypatch):
+    spark.range(50).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    read = []
+
+    def first(spark, docs, sf_dir):
+        return docs.where("doc_id < 40")
+
+    def second(spark, docs, sf_dir):
+        read.extend(docs.inputFiles())
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", first), ("second", second)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 40
+    assert read and not any("documents.parquet" in f for f in read)
+    assert not set(out.inputFiles()) & set(read)
+
+
 def test_registry():
     assert {f"op{k}_" for k in range(1, 11)} == {name.split("_")[0] + "_" for name in registry.QUERIES}
     assert all(isinstance(make(), str) for make in registry.ORACLES.values())
