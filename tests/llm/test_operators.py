@@ -367,6 +367,69 @@ def test_decontamination(spark):
     assert decontaminate.find(frame(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_found(text, items):
+    """Items found by comparing every window of the text with every window of every item."""
+    d = decontaminate
+    written = d.Written.of({w for _, t in items for w in d.plain_words(t)})
+    tokens, words = d.template(text, written)
+    out = set()
+    for item, t in items:
+        mine, own = d.template(t, written)
+        if not d.tellable(mine):
+            continue
+        size, covered = min(8, len(mine)), set()
+        for shift in range(-len(mine), len(tokens)):
+            at = [p for p in range(len(mine) - size + 1) if p + shift >= 0 and tokens[p + shift : p + shift + size] == mine[p : p + size]]
+            held = {k for p in at for k in range(p, p + size)}
+            stands = {(mine[k], own[k], words[k + shift]) for k in held if mine[k][0] == "\0"}
+            names = {(x, y) for kind, x, y in stands if kind == d.NAME}
+            if len({(k, x) for k, x, _ in stands}) < len(stands) or len({y for _, y in names}) < len(names):
+                held = {k for p in at if words[p + shift : p + shift + size] == own[p : p + size] for k in range(p, p + size)}
+            covered |= held
+        if len(covered) * 2 >= len(mine):
+            out.add(item)
+    return out
+
+
+def test_decontamination_equals_brute_force_at_any_block_size(spark):
+    rng = random.Random(31)
+    names, some = ["Anna", "Boris", "Carla", "Deng", "The", "Stone"], WORDS + ["km", "dollars", "3", "17", "4.5"]
+    word = lambda: rng.choice(names) if rng.random() < 0.15 else rng.choice(some)
+    items = [(i % 50, " ".join(word() for _ in range(rng.choice([2, 4, 7, 9, 14, 30])))) for i in range(60)]
+    rows = list(ODD)
+    for i in range(100, 220):
+        parts = [prose(rng, rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            if rng.random() < 0.6:  # other values in the slots, now and then not the same throughout
+                to = {x: rng.choice(names[:4]) if x in names else rng.choice(["9", "21", "x", x]) if x[0].isdigit() else x for x in w}
+                w = [to[x] if rng.random() < 0.95 else word() for x in w]
+            parts += [" ".join(w[: rng.randint(1, len(w))]), prose(rng, rng.randint(0, 9))]
+        rows.append((i, " ".join(parts)))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    want = {i: brute_found(t, items) for i, t in rows}
+    assert sum(map(bool, want.values())) > 30
+    for limit in (100, 500_000):
+        got = decontaminate.find(frame(spark, rows), bench, block_windows=limit).collect()
+        assert len(got) == len(rows) and all(set(r.item_ids) == want[r.doc_id] and r.contaminated == bool(want[r.doc_id]) for r in got)
+        left = decontaminate.clean(frame(spark, rows), bench, block_windows=limit)
+        assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows if not want[i]) and left.columns == frame(spark, rows).columns
+
+
+def test_decontamination_keeps_all_texts_of_an_item(spark):
+    one, two = "the grey heron waits beside the slow canal until dusk", "seven wooden boats drift past the quiet northern harbour"
+    bench = spark.createDataFrame([(1, one), (1, two), (None, "every lantern along the old bridge was lit before midnight"), (3, "4 km")], "item_id int, text string")
+    rows = [(1, one), (2, two), (3, "x every lantern along the old bridge was lit before midnight y"), (4, "it is 4 km away")]
+    got = {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in decontaminate.find(frame(spark, rows), bench).collect()}
+    assert got == {1: (True, 1, [1]), 2: (True, 1, [1]), 3: (True, 0, []), 4: (False, 0, [])}
+    assert [r.item_id for r in decontaminate.skipped(bench).collect()] == [3]
+    # 19 of 20 tokens word for word, one slot value changed
+    long = "Mara paid 3 dollars for bread and 3 dollars for milk at the corner shop near the station on friday"
+    bench = spark.createDataFrame([(7, long)], "item_id int, text string")
+    changed = long.replace("and 3", "and 4")
+    assert [r.item_ids for r in decontaminate.find(frame(spark, [(1, changed)]), bench).collect()] == [[7]]
+
+
 # -- language model ---------------------------------------------------------------------------------
 
 
@@ -390,27 +453,57 @@ def test_suffix_tree(spark):
     assert {r.base_score for r in none} == {0.0} and {r.train_tokens for r in none} == {0}
 
 
-def test_suffix_tree_is_a_distribution():
-    texts = [b"abab abba ab", b"ba ab abab", b"abba"] * 30
-    d, runs = suffix_tree.DEPTH, Counter()
+def brute_tree_score(texts, train):
+    """log10 probability of each text: every byte by its longest retained context, found anew for each."""
+    d = suffix_tree.DEPTH
+    lead = bytes([suffix_tree.END]) * d
+    n, m = Counter(), Counter()
+    for t in train:
+        b = lead + suffix_tree.symbols(t)
+        for at in range(d, len(b)):
+            for k in range(d + 1):
+                n[b[at - k : at + 1]] += 1
+                m[b[at - k : at]] += 1
+    kept = {b""}
+
+    def prob(context, x):  # by the longest retained suffix of context
+        while context not in kept:
+            context = context[1:]
+        below = prob(context[1:], x) if context else 1 / 256
+        return (n[context + bytes([x])] + suffix_tree.PRIOR * below) / (m[context] + suffix_tree.PRIOR)
+
+    after = {}
+    for run in n:
+        after.setdefault(run[:-1], []).append(run[-1])
+    for context in sorted(after, key=len):
+        if context and m[context] >= suffix_tree.LEAST_COUNT:
+            gain = sum(n[context + bytes([x])] * math.log(n[context + bytes([x])] / m[context] / prob(context[1:], x)) for x in after[context])
+            if gain >= suffix_tree.LEAST_GAIN:
+                kept.add(context)
+    out = []
     for t in texts:
-        runs.update(suffix_tree._runs([t]).tolist())
-    levels = []
-    for k in range(d + 1):
-        n = Counter()
-        for code, m in runs.items():
-            n[code & ((1 << (8 * (k + 1))) - 1)] += m
-        codes = np.array(sorted(n), np.uint64)
-        levels.append((codes, np.array([n[int(x)] for x in codes], float)))
-    tree = suffix_tree.grow(levels)
-    p = 10 ** tree.log.reshape(-1, tree.classes).astype(float)
-    unseen = 256 - (tree.classes - 1)
-    assert np.allclose(p[:, 1:].sum(1) + unseen * p[:, 0], 1, atol=1e-5)
-    # the walk in pieces equals the longest retained suffix found anew for every byte
-    long = b" ".join([b"abab abba zz"] * 40)
-    whole = tree.scores([long])[0]
-    old, suffix_tree.PIECE = suffix_tree.PIECE, 7
-    try:
-        assert abs(tree.scores([long])[0] - whole) < 1e-3
-    finally:
-        suffix_tree.PIECE = old
+        b = lead + suffix_tree.symbols(t)
+        out.append(sum(math.log10(prob(b[at - d : at], b[at])) for at in range(d, len(b))))
+    return out, kept
+
+
+def test_suffix_tree_equals_the_longest_retained_suffix_of_each_byte(spark):
+    rng = random.Random(32)
+    train = [(i, prose(rng, rng.randint(5, 60))) for i in range(60)]
+    rows = [*ODD, (50, "unseen zebra quartz"), (51, None), *((100 + i, prose(rng, 30) + " River of the") for i in range(20))]
+    want, kept = brute_tree_score([(t or "").encode() for _, t in rows], [t.encode() for _, t in train])
+    assert len({len(c) for c in kept}) == suffix_tree.DEPTH + 1
+    for held in (10**6, 200, 1):  # all of the tree in the workers, some of it, hardly any
+        got = suffix_tree.score(frame(spark, rows), frame(spark, train), held=held).collect()
+        assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-5, atol=1e-4)
+
+
+def test_suffix_tree_is_a_distribution(spark):
+    train = [(1, "abab abba ab"), (2, "ba ab abab"), (3, "abba")] * 30
+    lead = np.array([10, 97, 98, 97, 32], np.uint64)
+    codes = sum(c << np.uint64(8 * (5 - k)) for k, c in enumerate(lead)) | np.arange(256, dtype=np.uint64)
+    tree, _ = suffix_tree.held_part(suffix_tree.levels(suffix_tree.count_runs(frame(spark, train))), 10**6)
+    for cut in range(6):  # behind contexts that were seen, partly seen, and never seen
+        some = codes | np.uint64(int.from_bytes(b"~" * cut + bytes(6 - cut)))
+        log, left = tree.lookup(some)
+        assert not left.any() and abs((10**log).sum() - 1) < 1e-5

@@ -2,18 +2,22 @@
 
 Items and documents are turned into templates: outer punctuation goes, letters are lower-cased,
 numbers, units of measure and names become typed placeholders whose values are kept as slots. A name
-is a capitalised word that no benchmark item writes in lower case. Windows of eight template tokens
-(whole items, where shorter) are hash-joined: the benchmark's windows are a sorted hash table that
-every worker holds, so documents are read once and never shuffled. Windows that agree lie on a
+is a capitalised word that no item of the whole benchmark writes in lower case. Windows of eight
+template tokens (whole items, where shorter) are hash-joined: the benchmark's windows are a sorted
+hash table that every worker holds, so documents are never shuffled. Windows that agree lie on a
 diagonal of item and document; there, each slot value of the item must stand for one value of the
-document throughout, and two names never for the same one. An item is found in a document when the
-consistent windows cover at least half of its tokens.
-
-The benchmark is a query set: when its windows exceed ``BLOCK_WINDOWS`` the documents are read once
-for each block of items, so what workers hold stays bounded.
-
-Defined results: null or empty text contains nothing; items of fewer than three tokens, or without
-three ordinary words, take no part; repeated items count once; repeated documents are judged alike.
+document throughout, and two names never for the same one; windows that hold the item's own words
+count in any case. An item is found in a document when such windows cover at least half of its tokens.
+
+The benchmark is a query set: the documents are read once for each block of items, in a job of its
+own that stores what it found, so workers hold one block of about ``BLOCK_WINDOWS`` windows at a time.
+Findings are stored by the text's md5 and joined with the rows; blocks of any size give equal results.
+The words that are no names are held as hashes; more than ``MOST_WORDS`` different ones are an error.
+
+Defined results: null or empty text contains nothing. Items of fewer than three tokens, or without
+three ordinary words, cannot be told from ordinary text: they take no part and ``skipped`` lists them.
+An item_id with several texts stands for all of them; a null item_id counts in contaminated, not in
+n_items or item_ids. Repeated documents are judged alike. An empty benchmark or table finds nothing.
 """
 
 from __future__ import annotations
@@ -21,20 +25,26 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tideframe.llm.common import mix64, table
+from tideframe.llm.common import GROUP_BYTES, mix64, stored, table
 
 WINDOW = 8
 LEAST_TOKENS = 3
 LEAST_COVER = 0.5
 #: Windows of the benchmark that a worker holds at once (about 100 bytes each).
 BLOCK_WINDOWS = 500_000
+#: Different words that are no names (8 bytes each).
+MOST_WORDS = 4_000_000
 CACHE_WORDS = 400_000
+#: Bits of a window hash that are looked up before the table is searched.
+SIEVE_BITS = 22
 
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles g kg mg lb lbs oz pound pounds ounce ounces ton tons tonne tonnes "
@@ -48,8 +58,29 @@ _EDGE = re.compile(r"^[^\w$€£¥%+-]+|[^\w$€£¥%]+$")
 _NUMBER = re.compile(r"[+-]?[$€£¥]?\d[\d.,:/]*(?:st|nd|rd|th|%|[a-z]{1,3})?")
 
 
-def canonical(word: str, written: frozenset[str] | set[str]) -> str:
-    """The word's template token; empty for mere punctuation. written: words that are not names."""
+class Written:
+    """The words that are no names, as sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(np.asarray(hashes, np.uint64))
+
+    @classmethod
+    def of(cls, words) -> Written:
+        return cls(np.array([_word_hash(w) for w in words], np.uint64))
+
+    def __contains__(self, word: str) -> bool:
+        h = np.uint64(_word_hash(word))
+        at = int(np.searchsorted(self.hashes, h))
+        return at < len(self.hashes) and self.hashes[at] == h
+
+
+def plain_words(text: str | None) -> set[str]:
+    """The text's words that stand in lower case, without outer punctuation."""
+    return {x for w in (text or "").split() if (x := _EDGE.sub("", w)) and x == x.lower()}
+
+
+def canonical(word: str, written: Written) -> str:
+    """The word's template token; empty for mere punctuation."""
     w = _EDGE.sub("", word)
     low = w.lower()
     if not w:
@@ -95,26 +126,41 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+class _Hashes(dict):
+    """The hash of each word's template token; 0 marks mere punctuation."""
+
+    def __init__(self, written: Written) -> None:
+        super().__init__()
+        self.written = written
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        c = canonical(word, self.written)
+        h = self[word] = _word_hash(c) or 1 if c else 0
+        return h
+
+
 @dataclass
 class Index:
     """The templates of a block of items and their windows, sorted by hash."""
 
     items: list
-    written: frozenset
+    written: Written
     tokens: list[list[str]] = field(default_factory=list)
     words: list[list[str]] = field(default_factory=list)
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
-    def of(items: list[tuple[object, str]], written: frozenset) -> Index:
+    def of(items: list[tuple[object, str]], written: Written) -> Index:
         index = Index([], written)
         found = defaultdict(list)
         for item, text in items:
             tokens, words = template(text, written)
-            if len(tokens) < LEAST_TOKENS or sum(t[0] != "\x00" for t in tokens) < LEAST_TOKENS:
+            if not tellable(tokens):
                 continue
             size = min(WINDOW, len(tokens))
-            h = window_hashes(np.array([_word_hash(t) for t in tokens], np.uint64), size)
+            h = window_hashes(np.array([_word_hash(t) or 1 for t in tokens], np.uint64), size)
             found[size] += [(int(x), len(index.items), k) for k, x in enumerate(h)]
             index.items.append(item)
             index.tokens.append(tokens)
@@ -125,7 +171,8 @@ class Index:
         return index
 
     def __post_init__(self) -> None:
-        self._hash: dict[str, int] = {}
+        self._known = _Hashes(self.written)
+        self._sieves: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -134,46 +181,68 @@ class Index:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _hashes(self, text: str) -> np.ndarray:
-        """Hashes of the text's template tokens; 0 marks mere punctuation."""
-        known, out = self._hash, []
-        for w in text.split():
-            h = known.get(w)
-            if h is None:
-                c = canonical(w, self.written)
-                h = _word_hash(c) or 1 if c else 0
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                known[w] = h
-            if h:
-                out.append(h)
-        return np.array(out, np.uint64)
-
-    def found_in(self, text: str | None) -> list[tuple[object, float]]:
-        """Items of which the text holds at least LEAST_COVER, with the part that it covers."""
-        if not text or not self.items:
-            return []
-        h = self._hashes(text)
+    def _sieve(self, size: int) -> np.ndarray:
+        if size not in self._sieves:
+            sieve = np.zeros(1 << SIEVE_BITS, bool)
+            sieve[(self.tables[size][0] >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+            self._sieves[size] = sieve
+        return self._sieves[size]
+
+    def hits(self, texts: list[str]) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """For each text that shares windows with items: place and table row of those, by window size."""
+        known, parts, owner = self._known, [], []
+        for i, t in enumerate(texts):
+            h = np.fromiter(map(known.__getitem__, t.split()), np.uint64)
+            h = h[h != 0]
+            parts.append(h)
+            owner.append(np.full(len(h), i))
+        out: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        if not parts:
+            return out
+        tokens, owner = np.concatenate(parts), np.concatenate(owner)
+        first = np.searchsorted(owner, np.arange(len(texts)))
+        for size, (hashes, _, _) in self.tables.items():
+            own = window_hashes(tokens, size)
+            at = np.flatnonzero(self._sieve(size)[(own >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+            at = at[owner[at] == owner[at + size - 1]]
+            low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], "right")
+            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+                i = int(owner[p])
+                out[i][size] += [(p - int(first[i]), row) for row in range(a, b)]
+        return out
+
+    def found(self, texts: list[str | None]) -> list[list[int]]:
+        """Places in items of what each text holds to LEAST_COVER at least."""
+        out: list[list[int]] = [[] for _ in texts]
+        start, size = 0, 0
+        for stop in range(len(texts) + 1):
+            if stop == len(texts) or size > GROUP_BYTES:
+                for i, shared in self.hits([t or "" for t in texts[start:stop]]).items() if self.tables else ():
+                    out[start + i] = self._held(texts[start + i], shared)
+                start, size = stop, 0
+            if stop < len(texts):
+                size += len(texts[stop] or "")
+        return out
+
+    def found_in(self, text: str | None) -> list:
+        return sorted({self.items[i] for i in self.found([text])[0]})
+
+    def _held(self, text: str, shared: dict[int, list[tuple[int, int]]]) -> list[int]:
         diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size, (hashes, items, places) in self.tables.items():
-            own = window_hashes(h, size)
-            if not len(own):
-                continue
-            low = np.searchsorted(hashes, own)
-            for p in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own).tolist():
-                for k in range(low[p], np.searchsorted(hashes, own[p], "right")):
-                    diagonals[int(items[k]), p - int(places[k])].append(int(places[k]))
-        if not diagonals:
-            return []
+        for size, places in shared.items():
+            _, items, at = self.tables[size]
+            for p, row in places:
+                diagonals[int(items[row]), p - int(at[row])].append(int(at[row]))
         tokens, words = template(text, self.written)
         covered: dict[int, set[int]] = defaultdict(set)
         for (i, shift), places in diagonals.items():
-            size = min(WINDOW, len(self.tokens[i]))
+            mine, own, size = self.tokens[i], self.words[i], min(WINDOW, len(self.tokens[i]))
+            places = [p for p in places if tokens[p + shift : p + shift + size] == mine[p : p + size]]
             held = sorted({k for p in places for k in range(p, p + size)})
-            if all(tokens[k + shift] == self.tokens[i][k] for k in held) and self._consistent(i, shift, held, words):
-                covered[i].update(held)
-        parts = ((i, len(c) / len(self.tokens[i])) for i, c in covered.items())
-        return sorted((self.items[i], round(part, 6)) for i, part in parts if part >= LEAST_COVER)
+            if not self._consistent(i, shift, held, words):
+                held = {k for p in places if words[p + shift : p + shift + size] == own[p : p + size] for k in range(p, p + size)}
+            covered[i].update(held)
+        return sorted(i for i, c in covered.items() if len(c) >= LEAST_COVER * len(self.tokens[i]))
 
     def _consistent(self, i: int, shift: int, held: list[int], words: list[str]) -> bool:
         """Whether each slot value of the item stands for one value of the document."""
@@ -188,62 +257,85 @@ class Index:
         return True
 
 
-def _indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes over blocks of the benchmark's items, made one after another."""
-    items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    words = items.select(F.explode(F.split("text", "\\s+")).alias("w")).where(F.col("w") == F.lower("w"))
-    windows = items.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(windows) // BLOCK_WINDOWS))
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = mine.orderBy("item_id").collect()
-        # only words of the block can decide whether a token of the block is a name
-        block_words = {_EDGE.sub("", w).lower() for r in rows for w in r.text.split()}
-        if blocks == 1:
-            written = {x for r in rows for w in r.text.split() if (x := _EDGE.sub("", w)) and x == x.lower()}
-        else:
-            own = mine.sparkSession.createDataFrame([(w,) for w in sorted(block_words) if w], "w string")
-            plain = words.select(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("w")).distinct()
-            written = {r.w for r in own.join(plain, "w", "left_semi").collect()}
-        yield Index.of([(r.item_id, r.text) for r in rows], frozenset(written))
-
-
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, contaminated, n_items, item_ids (ascending)."""
-    few = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
-    kind, item = few.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = few.withColumn("item_ids", F.lit(None).cast(f"array<{item}>"))
-    for index in _indexes(benchmark):
-        out = _marked(out, index, f"doc_id {kind}, text string, item_ids array<{item}>")
-    ids = F.coalesce("item_ids", F.array().cast(f"array<{item}>"))
-    return out.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).alias("n_items"), F.array_sort(ids).alias("item_ids"))
+def tellable(tokens: list[str]) -> bool:
+    """Whether an item of these tokens can be told from ordinary text."""
+    return len(tokens) >= LEAST_TOKENS and sum(t[0] != "\x00" for t in tokens) >= LEAST_TOKENS
+
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").where("text is not null").distinct()
 
-def _marked(df: DataFrame, index: Index, schema: str) -> DataFrame:
-    """df with the index's items that each text holds added to item_ids."""
 
-    def run(batches):
+def _written(items: DataFrame) -> Written:
+    """The words that any item writes in lower case."""
+
+    def words(batches):
         for batch in batches:
-            found = [[i for i, _ in index.found_in(t)] for t in batch.column(1).to_pylist()]
-            before = batch.column(2).to_pylist()
-            ids = pa.array([(a or []) + b for a, b in zip(before, found)], batch.schema.field(2).type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["doc_id", "text", "item_ids"])
+            found = {_word_hash(w) for t in batch.column(0).to_pylist() for w in plain_words(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), np.uint64).view(np.int64))], ["h"])
 
-    return df.mapInArrow(run, schema)
+    hashes = items.select("text").mapInArrow(words, "h long").distinct().limit(MOST_WORDS + 1).toPandas()["h"].to_numpy(np.int64)
+    if len(hashes) > MOST_WORDS:
+        raise ValueError(f"the benchmark writes more than {MOST_WORDS} different words")
+    return Written(hashes.view(np.uint64))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with their columns."""
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{text_col}`"].alias("text"))
-    schema = packed.schema
-    for index in _indexes(benchmark):
+def skipped(benchmark: DataFrame) -> DataFrame:
+    """item_id, text of the items that take no part, because they cannot be told from ordinary text."""
+    items = _items(benchmark)
+    written = _written(items)
+
+    def few(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not tellable(template(t, written)[0]) for t in batch.column(1).to_pylist()], pa.bool_()))
+
+    return items.mapInArrow(few, items.schema)
+
+
+def _key(text) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _findings(texts: DataFrame, benchmark: DataFrame, block_windows: int) -> DataFrame:
+    """key, item_id of what the texts(text) hold: one stored table for each block of items."""
+    items = _items(benchmark)
+    kind = items.schema["item_id"].dataType.simpleString()
+    arrow = to_arrow_type(items.schema["item_id"].dataType)
+    windows = items.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
+    blocks = max(1, -(-int(windows) // block_windows))
+    written = _written(items)
+    keyed = texts.select("text", _key(F.col("text")).alias("key"))
+    parts = []
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        index = Index.of(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[1], str(r[0]))), written)
 
-        def run(batches, index=index):
+        def run(batches, index=index, arrow=arrow):
             for batch in batches:
-                yield batch.filter(pa.array([not index.found_in(t) for t in batch.column(1).to_pylist()], pa.bool_()))
+                found = index.found(batch.column(0).to_pylist())
+                rows = sorted({(k, i) for k, here in zip(batch.column(1).to_pylist(), found) for i in here})
+                held = [index.items[i] for _, i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array(held, arrow)], ["key", "item_id"])
+
+        parts.append(stored(keyed.mapInArrow(run, f"key binary, item_id {kind}")))
+    return reduce(DataFrame.unionByName, parts)
 
-        packed = packed.mapInArrow(run, schema)
-    return packed.select("_row.*")
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per input row: doc_id, contaminated, n_items, item_ids (ascending)."""
+    few = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
+    found = _findings(few, benchmark, block_windows).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    out = few.select("doc_id", _key(F.col("text")).alias("key")).join(found, "key", "left")
+    ids = F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType))
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs that hold no item, with their columns."""
+    text = docs[f"`{text_col}`"]
+    found = _findings(docs.select(text.alias("text")), benchmark, block_windows).select("key").distinct()
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _key(text).alias("key"))
+    return packed.join(found, "key", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
