@@ -2,50 +2,54 @@
 
 Texts are lower-cased (A-Z), their words joined by single spaces and ended by one line feed. The
 tree's contexts are runs of up to ``DEPTH`` bytes. Counts come from every training text: tasks count
-runs of DEPTH + 1 bytes, Spark adds them up, and shorter runs are sums of longer ones. A context is
-a candidate when it makes up at least ``LEAST_SHARE`` of all training bytes (so there are at most
-1 / LEAST_SHARE for each depth, whatever the corpus), and is retained when its next-byte
-distribution diverges from its parent's: the log likelihood gained by it exceeds ``LEAST_GAIN``.
-A context's distribution is smoothed with its parent's, down to the uniform one. Retained contexts
-with their prefixes are the states of an automaton whose current state is always the longest
-suffix of the text so far; texts are scored by walking it, many pieces of text side by side.
-
-The base score is the add-one unigram over words: counts of all training words stay distributed.
-Scoring looks up the most frequent words in each task and joins only the rest, so hot words never
-enter a shuffle.
+runs of DEPTH + 1 bytes, Spark adds them up, and shorter runs are sums of longer ones. Level by
+level, a context is retained if it was seen ``LEAST_COUNT`` times and its next-byte distribution
+diverges from that of its longest retained suffix: the log likelihood gained by it is at least
+``LEAST_GAIN``. Both bounds are absolute, so the tree grows with the corpus, and nothing else limits
+it. A retained context's distribution is smoothed with its longest retained suffix's, down to the
+uniform one. Each byte is scored by the longest retained context that ends before it.
+
+The tree is a set of stored tables. Workers hold its most frequent contexts, ``HELD_ENTRIES``
+probabilities at most, and a bit map of the other contexts, ``REST_BITS`` long. A place in a text
+whose context may be one of the others is handed on as a row and resolved by joins with the tables,
+so scores do not depend on what workers hold. The base score is the add-one unigram over words:
+counts of all training words stay distributed; the most frequent words are looked up in the tasks,
+the rest are joined, so a word that is joined makes up less than 1 / FREQUENT_WORDS of all.
 
 Defined results: null text counts as empty and consists of its end token. Texts with equal bytes
-have equal scores, so repeated rows and ids do no harm. Without training texts N and V are 0, every
-base score is 0 and the tree is the uniform distribution. Other columns are ignored.
+have equal scores up to rounding, so repeated rows and ids do no harm. Without training texts N and
+V are 0, every base score is 0 and the tree is the uniform distribution. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from tideframe.llm.common import arrow_map, by_bytes, discard, remainder, stored, table, text_bytes
+from tideframe.llm.common import arrow_map, by_bytes, discard, mix64, remainder, stored, table, text_bytes
 
 DEPTH = 5
-LEAST_SHARE = 5e-6
+LEAST_COUNT = 2
 LEAST_GAIN = 3.0
-#: Weight of the parent's distribution in a context's, in counts.
+#: Weight of the shorter context's distribution in a context's, in counts.
 PRIOR = 4.0
-#: States of the automaton; candidates beyond it would need a larger LEAST_SHARE.
-MOST_STATES = 65_535
+#: Probabilities that a worker holds (12 bytes each), and bits of the map of other contexts.
+HELD_ENTRIES = 2_000_000
+REST_BITS = 25
 #: Words that are looked up in each task; the others are joined.
 FREQUENT_WORDS = 65_536
 #: Distinct runs that a task holds before it hands them on.
 HELD_RUNS = 1_000_000
-PIECE = 128
 END = 10
-_MASK = [np.uint64((1 << (8 * (k + 1))) - 1) for k in range(DEPTH + 1)]
+_MASK = [(1 << (8 * (k + 1))) - 1 for k in range(DEPTH + 1)]
 
 
 def symbols(text: bytes) -> bytes:
@@ -92,122 +96,148 @@ def count_runs(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def candidates(runs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context length: codes of (context, next byte) and counts, of the contexts with LEAST_SHARE."""
+def levels(runs: DataFrame) -> list[DataFrame]:
+    """For each context length the stored rows run, context, n, m, back, log: counts of run and context, log10 of the weight
+    that a retained context leaves to the shorter ones (null: not retained), and log10 of the run's probability."""
     runs = stored(runs)
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    out = []
+    out: list[DataFrame] = []
     for k in range(DEPTH + 1):
-        grams = runs if k == DEPTH else runs.groupBy(F.col("run").bitwiseAND(F.lit(int(_MASK[k]))).alias("run")).agg(F.sum("n").alias("n"))
+        grams = runs if k == DEPTH else runs.groupBy(F.col("run").bitwiseAND(F.lit(_MASK[k])).alias("run")).agg(F.sum("n").alias("n"))
+        of = Window.partitionBy("context")  # 256 rows at most
+        grams = grams.withColumn("context", F.shiftrightunsigned("run", 8)).withColumn("m", F.sum("n").over(of))
         if k:
-            grams = grams.withColumn("context", F.shiftrightunsigned("run", 8))
-            large = grams.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(2.0, LEAST_SHARE * total)).select("context")
-            grams = grams.join(F.broadcast(large), "context", "left_semi").select("run", "n")
-        rows = grams.toPandas()
-        codes, n = rows["run"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.float64)
-        order = np.argsort(codes)
-        out.append((codes[order], n[order]))
+            shorter = out[-1].select(F.col("run").alias("suffix"), F.col("log").alias("base"))
+            grams = grams.withColumn("suffix", F.col("run").bitwiseAND(F.lit(_MASK[k - 1]))).join(shorter, "suffix")
+            gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("m")) - F.col("base") * float(np.log(10)))).over(of)
+            kept = (F.col("m") >= LEAST_COUNT) & (gain >= LEAST_GAIN)
+        else:
+            grams, kept = grams.withColumn("base", F.lit(-float(np.log10(256)))), F.lit(True)
+        grams = grams.withColumn("kept", kept)
+        log = F.when(F.col("kept"), F.log10((F.col("n") + PRIOR * F.pow(F.lit(10.0), "base")) / (F.col("m") + PRIOR))).otherwise(F.col("base"))
+        back = F.when(F.col("kept"), F.log10(PRIOR / (F.col("m") + PRIOR)))
+        out.append(stored(grams.select("run", "context", "n", "m", back.alias("back"), log.alias("log"))))
     discard(runs)
     return out
 
 
+def _places(key: np.ndarray) -> np.ndarray:
+    return (mix64(key.copy()) >> np.uint64(64 - REST_BITS)).astype(np.int64)
+
+
 @dataclass
 class Tree:
-    """An automaton: symbol class of each byte, next state and log10 probability by state and class."""
+    """The held part of the tree: sorted contexts and runs, keyed by length and bytes, and the map of the other contexts."""
 
-    kind: np.ndarray
-    step: np.ndarray
+    contexts: np.ndarray
+    back: np.ndarray
+    runs: np.ndarray
     log: np.ndarray
-    classes: int
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        lead = bytes([END]) * DEPTH
-        read = [symbols(t) for t in texts]
-        data = self.kind[np.frombuffer(b"".join(lead + r for r in read) + bytes([END]) * PIECE, np.uint8)]
-        sizes = np.array([len(r) for r in read])
-        begin = np.cumsum(sizes + DEPTH) - sizes  # of each text behind its lead
-        pieces = -(-sizes // PIECE)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = begin[owner] + number * PIECE
-        left = np.minimum(sizes[owner] - number * PIECE, PIECE)
-        state = np.zeros(len(at), np.int64)
-        total = np.zeros(len(at))
-        for k in range(-DEPTH, PIECE):
-            cell = state * self.classes + data[at + k]
-            if k >= 0:
-                total += np.where(k < left, self.log[cell], 0)
-            state = self.step[cell].astype(np.int64)
-        return np.bincount(owner, total, len(texts))
-
-
-def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """The tree of counted candidates."""
-    kind = np.zeros(256, np.int64)
-    used = (levels[0][0] & np.uint64(255)).astype(int).tolist() if len(levels[0][0]) else []
-    for i, b in enumerate(used):
-        kind[b] = i + 1
-    classes = len(used) + 1
-
-    nexts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for k, (codes, n) in enumerate(levels):
-        context = codes >> np.uint64(8)
-        edge = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1], [True]))) if len(codes) else np.zeros(1, int)
-        to = kind[(codes & np.uint64(255)).astype(int)]
-        for a, b in zip(edge[:-1], edge[1:]):
-            nexts[k, int(context[a])] = to[a:b], n[a:b]
-
-    def smoothed(own, parent: np.ndarray) -> np.ndarray:
-        p = PRIOR * parent
-        p[own[0]] += own[1]
-        return p / (own[1].sum() + PRIOR)
-
-    base = np.full(classes, 1 / 256)
-    root = smoothed(nexts[0, 0], base) if (0, 0) in nexts else base
-    dist = {(0, 0): root}
-    suffix = lambda c: (c[0] - 1, c[1] & ((1 << (8 * (c[0] - 1))) - 1))  # noqa: E731  without the oldest byte
-    prefix = lambda c: (c[0] - 1, c[1] >> 8)  # noqa: E731  without the newest byte
-    kept: set[tuple[int, int]] = {(0, 0)}
-    gains = []
-    for c in sorted(nexts):
-        if c[0]:
-            parent = dist[suffix(c)]
-            to, n = nexts[c]
-            dist[c] = smoothed(nexts[c], parent).astype(np.float32)
-            gains.append((float((n * np.log(n / n.sum() / parent[to])).sum()), c))
-    gains.sort(key=lambda x: (-x[0], x[1]))
-    for gain, c in gains:
-        if gain < LEAST_GAIN:
+    rest: np.ndarray | None
+
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of the last byte of each code of DEPTH + 1 bytes, and which codes are not decided here."""
+        out, open_ = np.zeros(len(codes)), np.zeros(len(codes), bool)
+        rest = None if self.rest is None else np.unpackbits(self.rest).view(bool)
+        at, fresh = np.arange(len(codes)), np.ones(len(codes), bool)
+        for k in range(DEPTH, -1, -1):
+            run = codes[at] & np.uint64(_MASK[k])
+            length = np.uint64(k << 48)
+            context = length | (run >> np.uint64(8))
+            place = np.minimum(np.searchsorted(self.contexts, context), max(len(self.contexts) - 1, 0))
+            hit = self.contexts[place] == context if len(self.contexts) else np.zeros(len(at), bool)
+            go_on = np.ones(len(at), bool)
+            if rest is not None and k:
+                doubt = ~hit & fresh[at] & rest[_places(context)]
+                open_[at[doubt]] = True
+                go_on &= ~doubt
+            some = np.flatnonzero(hit)
+            if len(some):
+                fresh[at[some]] = False
+                key = length | run[some]
+                where = np.minimum(np.searchsorted(self.runs, key), len(self.runs) - 1)
+                seen = self.runs[where] == key
+                out[at[some[seen]]] += self.log[where[seen]]
+                out[at[some[~seen]]] += self.back[place[some[~seen]]]
+                go_on[some[seen]] = False
+            at = at[go_on]
+        out[at] -= np.log10(256)
+        return out, open_
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """log10 probability of each text as far as it is decided here, and the codes (with counts) that are not."""
+        codes, place = np.unique(_runs(texts), return_inverse=True)
+        log, open_ = self.lookup(codes)
+        owner = np.repeat(np.arange(len(texts)), [len(symbols(t)) for t in texts])
+        log[open_] = 0
+        left: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if open_.any():
+            some = open_[place]
+            pairs, n = np.unique(owner[some] * len(codes) + place[some], return_counts=True)
+            for i, c, m in zip((pairs // len(codes)).tolist(), codes[pairs % len(codes)].tolist(), n.tolist()):
+                left[i].append((c, m))
+        return np.bincount(owner, log[place], len(texts)), left
+
+
+def held_part(tables: list[DataFrame], limit: int) -> tuple[Tree, int]:
+    """What workers hold of the tree, and the least count of a context in it: the least power of two with which it fits."""
+    sizes = [t.where("back is not null").groupBy(F.floor(F.log2("m")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect() for t in tables[1:]]
+    of = Counter()
+    for rows in sizes:
+        of.update({r.power: r.n for r in rows})
+    least, total = 1, sum(of.values())
+    for power in sorted(of):
+        if total <= limit:
             break
-        fresh = _closure(c, kept, suffix, prefix)
-        if len(kept) + len(fresh) <= MOST_STATES:
-            kept |= fresh
-    order = sorted(kept)
-    place = {c: i for i, c in enumerate(order)}
-    log = np.log10(np.stack([dist[c] for c in order])).astype(np.float32)
-    step = np.zeros((len(order), classes), np.uint16)
-    above: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for c in order[1:]:
-        above.setdefault(prefix(c), []).append((int(kind[c[1] & 255]), place[c]))
-    for i, c in enumerate(order):
-        if i:
-            step[i] = step[place[suffix(c)]]
-        for k, j in above.get(c, ()):
-            step[i, k] = j
-    return Tree(kind, step.ravel(), log.ravel(), classes)
-
-
-def _closure(c, kept, suffix, prefix) -> set:
-    """c and whatever must be a state with it: suffixes, and prefixes, which the walk passes through."""
-    out, todo = set(), [c]
-    while todo:
-        x = todo.pop()
-        if x not in kept and x not in out:
-            out.add(x)
-            if x[0] > 1:
-                todo += [suffix(x), prefix(x)]
-    return out
+        total -= of[power]
+        least = 1 << (power + 1)
+    contexts, back, runs, log = [], [], [], []
+    for k, t in enumerate(tables):
+        some = t.where("back is not null" + (f" and m >= {least}" if k else "")).select("run", "context", F.col("back").cast("float"), F.col("log").cast("float")).toPandas()
+        code = some["run"].to_numpy(np.int64).view(np.uint64) | np.uint64(k << 48)
+        order = np.argsort(code)
+        context = some["context"].to_numpy(np.int64).view(np.uint64)[order] | np.uint64(k << 48)
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        runs.append(code[order]), log.append(some["log"].to_numpy()[order])
+        contexts.append(context[new]), back.append(some["back"].to_numpy()[order][new])
+    rest = None
+    if least > 1:
+        rest = np.zeros(1 << REST_BITS, bool)
+        for k, t in enumerate(tables[1:], 1):
+            rest |= np.unpackbits(_rest_map(t.where(f"back is not null and m < {least}").select("context"), k)).view(bool)
+        rest = np.packbits(rest)
+    return Tree(*(np.concatenate(x) for x in (contexts, back, runs, log)), rest), least
+
+
+def _rest_map(contexts: DataFrame, k: int) -> np.ndarray:
+    """The packed map of contexts(context) of length k; tasks send the 64-bit words that they set."""
+
+    def mark(batches):
+        mine = np.zeros(1 << REST_BITS, bool)
+        for batch in batches:
+            mine[_places(batch.column(0).to_numpy().view(np.uint64) | np.uint64(k << 48))] = True
+        words = np.packbits(mine).view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["place", "bits"])
+
+    rows = contexts.mapInArrow(mark, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (REST_BITS - 6), np.int64)
+    out[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def resolved(codes: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """code, log of each of codes(code): its probability by the longest retained context of the whole tree."""
+    out = codes.withColumns({"log": F.lit(0.0), "found": F.lit(False)})
+    for k in range(DEPTH, -1, -1):
+        # a run that was seen behind a context has its probability in the context's level, retained or not
+        seen = tables[k].select(F.col("run").alias("r"), F.col("log").alias("own"))
+        left = tables[k].where("back is not null").select(F.col("context").alias("c"), "back").distinct()
+        out = out.withColumns({"r": F.col("code").bitwiseAND(F.lit(_MASK[k])), "c": F.shiftrightunsigned(F.col("code").bitwiseAND(F.lit(_MASK[k])), 8)})
+        out = out.join(seen, "r", "left").join(left, "c", "left")
+        more = F.when(F.col("found"), 0.0).when(F.col("own").isNotNull(), F.col("own")).otherwise(F.coalesce("back", F.lit(0.0)))
+        out = out.select("code", (F.col("log") + more).alias("log"), (F.col("found") | F.col("own").isNotNull()).alias("found"))
+    return out.select("code", F.when(F.col("found"), F.col("log")).otherwise(F.col("log") - float(np.log10(256))).alias("log"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -222,75 +252,67 @@ def count_words(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD_ENTRIES) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     few = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
-    kind = few.schema["doc_id"].dataType.simpleString()
+    kind, arrow = few.schema["doc_id"].dataType.simpleString(), to_arrow_type(few.schema["doc_id"].dataType)
     learned = training.select(training[f"`{text_col}`"].alias("text"))
     vocabulary = stored(count_words(learned))
     size, running = vocabulary.agg(F.count(F.lit(1)), F.sum("c")).first()
     ends = learned.count()
     n_all, v_all = int(running or 0) + ends, int(size) + (ends > 0)
     common = {r.word.encode(): r.c for r in vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).collect()}
-    tree = grow(candidates(count_runs(learned)))
+    tables = levels(count_runs(learned))
+    tree, least = held_part(tables, held)
+    rare_kind, open_kind = "array<struct<word:string,n:bigint>>", "array<struct<code:bigint,n:bigint>>"
+    pairs = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])), pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
 
-    def tail(batches):
-        for batch in batches:
-            keys, found, times, seen = [], [], [], set()
-            for t in text_bytes(batch.column(0)):
-                key = hashlib.md5(t).digest()
-                if key in seen:
-                    continue
-                seen.add(key)
-                keys.append(key), found.append(b""), times.append(0)  # says that this text was counted here
-                for w, k in Counter(t.lower().split()).items():
-                    if w not in common:
-                        keys.append(key), found.append(w), times.append(k)
-                if len(keys) > 100_000:
-                    yield _tail_rows(keys, found, times)
-                    keys, found, times = [], [], []
-            yield _tail_rows(keys, found, times)
-
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = text_bytes(batch.column(1))
+    def read(batches):
         logs = {w: float(np.log10(c + 1)) for w, c in common.items()}
         end = float(np.log10(ends + 1))
-        total, known, part = [], [], []
-        for t in texts:
-            words = t.lower().split()
-            near = [x for x in map(logs.get, words) if x is not None]
-            total.append(len(words) + 1)
-            known.append(len(near) + (ends > 0))
-            part.append(float(sum(near)) + end)
-        scores = np.concatenate([tree.scores(texts[a:b]) for a, b in by_bytes(texts)])
-        keys = [hashlib.md5(t).digest() for t in texts]
-        arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(part), pa.array(scores)]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_tokens", "known", "part", "score"])
-
-    rare = few.select("text").mapInArrow(tail, "key binary, word string, n long")
-    # a text stands in the tail once for each batch that holds it; all its sums are so many times too large
-    told = rare.join(vocabulary, "word", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("word") == "", 1)).alias("batches"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("rest"),
-    )
-    rows = arrow_map(few, read, f"doc_id {kind}, key binary, n_tokens long, known long, part double, score double")
-    out = rows.join(told, "key", "left")
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
+            total, known, part, rare = [], [], [], []
+            for t in texts:
+                words = t.lower().split()
+                near = [x for x in map(logs.get, words) if x is not None]
+                total.append(len(words) + 1)
+                known.append(len(near) + (ends > 0))
+                part.append(float(sum(near)) + end)
+                rare.append([(w.decode(), n) for w, n in Counter(w for w in words if w not in logs).items()] if len(near) < len(words) else None)
+            scores, left = [], []
+            for a, b in by_bytes(texts):
+                x, y = tree.scores(texts[a:b])
+                scores.append(x)
+                left += [z or None for z in y]
+            keys = np.arange(row, row + len(texts))
+            row += len(texts)
+            arrays = [batch.column(0).cast(arrow), pa.array(keys), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(part), pa.array(np.concatenate([*scores, np.zeros(0)]))]
+            arrays += [pa.array([r and [{"word": w, "n": n} for w, n in r] for r in rare], pairs[0]), pa.array([r and [{"code": c, "n": n} for c, n in r] for r in left], pairs[1])]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "known", "part", "score", "rare", "open"])
+
+    # written once, so that a row's number is the same for all that reads it
+    rows = stored(few.mapInArrow(read, f"doc_id {kind}, row long, n_tokens long, known long, part double, score double, rare {rare_kind}, open {open_kind}"))
+    rare = rows.where("rare is not null").select("row", F.inline("rare")).join(vocabulary, "word")
+    more = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rest"))
+    out = rows.drop("rare", "open").join(more, "row", "left")
+    if least > 1:
+        open_ = rows.where("open is not null").select("row", F.inline("open"))
+        known = resolved(open_.select("code").distinct(), tables)
+        found = open_.join(known, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("found"))
+        out = out.join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("found", F.lit(0.0)))
     unit = float(np.log10(n_all + v_all + 1))
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("known") + F.coalesce((F.col("more") / F.col("batches")).cast("long"), F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce(F.col("rest") / F.col("batches"), F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
+        (F.col("part") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
         "score",
     )
 
 
-def _tail_rows(keys, found, times) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["key", "word", "n"])
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, docs.where(remainder(F.col("doc_id"), 7) != 2))
