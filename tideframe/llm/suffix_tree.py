@@ -192,14 +192,14 @@ def held_part(tables: list[DataFrame], limit: int) -> tuple[Tree, int]:
         least = 1 << (power + 1)
     contexts, back, runs, log = [], [], [], []
     for k, t in enumerate(tables):
-        some = t.where("back is not null" + (f" and m >= {least}" if k else "")).select("run", "context", F.col("back").cast("float"), F.col("log").cast("float")).toPandas()
-        code = some["run"].to_numpy(np.int64).view(np.uint64) | np.uint64(k << 48)
+        code, of, value = _packed(t.where("back is not null" + (f" and m >= {least}" if k else "")).select("run", "back", "log"))
         order = np.argsort(code)
-        context = some["context"].to_numpy(np.int64).view(np.uint64)[order] | np.uint64(k << 48)
+        code = code[order] | np.uint64(k << 48)
+        context = (code & np.uint64(_MASK[DEPTH])) >> np.uint64(8) | np.uint64(k << 48)
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
-        runs.append(code[order]), log.append(some["log"].to_numpy()[order])
-        contexts.append(context[new]), back.append(some["back"].to_numpy()[order][new])
+        runs.append(code), log.append(value[order])
+        contexts.append(context[new]), back.append(of[order][new])
     rest = None
     if least > 1:
         rest = np.zeros(1 << REST_BITS, bool)
@@ -209,6 +209,19 @@ def held_part(tables: list[DataFrame], limit: int) -> tuple[Tree, int]:
     return Tree(*(np.concatenate(x) for x in (contexts, back, runs, log)), rest), least
 
 
+def _packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of rows(run, back, log) on the driver, sent as packed numbers: 16 bytes a row there, without a frame of rows."""
+
+    def pack(batches):
+        for batch in batches:
+            code, back, log = (batch.column(k).to_numpy() for k in range(3))
+            parts = [code.tobytes(), back.astype(np.float32).tobytes(), log.astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["run", "back", "log"])
+
+    found = rows.mapInArrow(pack, "run binary, back binary, log binary").collect()
+    return tuple(np.frombuffer(b"".join(r[k] for r in found), t) for k, t in enumerate((np.uint64, np.float32, np.float32)))
+
+
 def _rest_map(contexts: DataFrame, k: int) -> np.ndarray:
     """The packed map of contexts(context) of length k; tasks send the 64-bit words that they set."""
 
@@ -261,7 +274,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     size, running = vocabulary.agg(F.count(F.lit(1)), F.sum("c")).first()
     ends = learned.count()
     n_all, v_all = int(running or 0) + ends, int(size) + (ends > 0)
-    common = {r.word.encode(): r.c for r in vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).collect()}
+    most = vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).toPandas()
+    common = dict(zip((w.encode() for w in most["word"]), most["c"].tolist()))
     tables = levels(count_runs(learned))
     tree, least = held_part(tables, held)
     rare_kind, open_kind = "array<struct<word:string,n:bigint>>", "array<struct<code:bigint,n:bigint>>"
