@@ -28,6 +28,8 @@ SEED = 4
 UNKNOWN = "und"
 #: More languages than this are an error: prototypes are held by the driver and every worker.
 MOST_LANGUAGES = 4_096
+#: Letters whose vectors a worker keeps, and trigrams whose vectors stand in memory at once (2.5 KB each).
+MOST_LETTERS, CHUNK = 32_768, 16_384
 
 _ALPHA: np.ndarray | None = None
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
@@ -44,6 +46,8 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
     """The letter's vector; 0 is the separator."""
     v = _LETTERS.get((code, dimensions))
     if v is None:
+        if len(_LETTERS) >= MOST_LETTERS:
+            _LETTERS.clear()
         rng = np.random.Generator(np.random.Philox(key=(SEED << 32) | code))
         v = _LETTERS[code, dimensions] = (rng.integers(0, 2, dimensions, np.int8) * 2 - 1).astype(np.int8)
     return v
@@ -68,17 +72,22 @@ def profiles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
         return out
     keys, place = np.unique(np.concatenate(codes), return_inverse=True)
     parts = [(keys >> s) & 0x1FFFFF for s in (42, 21, 0)]
-    letters = np.unique(np.concatenate(parts))
-    known = np.stack([letter_vector(int(x), dimensions) for x in letters])
-    vectors = np.ones((len(keys), dimensions), np.int8)
-    for shift, p in zip((2, 1, 0), parts):
-        vectors *= np.roll(known, shift, axis=1)[np.searchsorted(letters, p)]
-    vectors = vectors.astype(np.float32)
+    counted = []
     for i in range(len(texts)):
-        if bounds[i] < bounds[i + 1]:
-            n = np.bincount(place[bounds[i] : bounds[i + 1]], minlength=len(keys))
-            some = np.flatnonzero(n)
-            out[i] = n[some].astype(np.float32) @ vectors[some]
+        own, n = np.unique(place[bounds[i] : bounds[i + 1]], return_counts=True)
+        counted.append((own, n.astype(np.float32)))
+    for start in range(0, len(keys), CHUNK):
+        stop = min(start + CHUNK, len(keys))
+        letters = np.unique(np.concatenate([p[start:stop] for p in parts]))
+        known = np.stack([letter_vector(int(x), dimensions) for x in letters])
+        vectors = np.ones((stop - start, dimensions), np.int8)
+        for shift, p in zip((2, 1, 0), parts):
+            vectors *= np.roll(known, shift, axis=1)[np.searchsorted(letters, p[start:stop])]
+        vectors = vectors.astype(np.float32)
+        for i, (own, n) in enumerate(counted):
+            a, b = np.searchsorted(own, (start, stop))
+            if a < b:
+                out[i] += n[a:b] @ vectors[own[a:b] - start]
     return out
 
 
