@@ -453,6 +453,83 @@ def test_suffix_tree(spark):
     assert {r.base_score for r in none} == {0.0} and {r.train_tokens for r in none} == {0}
 
 
+# -- any column type and name, empty tables, texts of some MB ----------------------------------------
+
+INTERNAL = "row key node label id doc sub place part code found n count source copy_ size bands parts text_ _gone _source _count".split()
+
+
+def odd_frame(spark, rows):
+    """String ids, some null or repeated with other texts, beside columns named like what operators use inside."""
+    from pyspark.sql import functions as F
+
+    wide = spark.createDataFrame(rows, "doc_id string, text string")
+    return wide.select("*", *[F.lit(f"mine {c}").alias(c) for c in INTERNAL]).repartition(3)
+
+
+def test_all_operators_take_any_columns_and_empty_tables(spark):
+    rng = random.Random(33)
+    base = prose(rng, 200)
+    rows = [(None, "a"), (None, "b"), (None, base), (None, base), ("x", None), ("x", base + " more"), ("y", base), ("y", base), ("z", prose(rng, 90)), ("\u00e9", " \n ")]
+    docs, none = odd_frame(spark, rows), odd_frame(spark, rows).limit(0)
+    bench = spark.createDataFrame([("i", "seven bright engines under the amber cloud of stone")], "item_id string, text string")
+    prototypes = language.learn(spark.createDataFrame([("en", base), ("xx", "qzk wvx jjq")], "lang string, text string"))
+    model = toxicity.fit([t for _, t in rows], [0] * len(rows))
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    runs = {
+        "op1": lambda d: toxicity.score(d, model), "op2": neardup.classes, "op3": quality.report, "op4": lambda d: language.predict(d, prototypes),
+        "op6": substrings.report, "op7": lambda d: decontaminate.find(d, bench), "op8": lambda d: tokens.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")),
+        "op9": lambda d: pages.extract(d, "doc_id", "text", "text"), "op10": lambda d: suffix_tree.score(d, d),
+    }
+    for name, run in runs.items():
+        assert run(docs).count() == len(rows), name
+        assert run(none).count() == 0, name
+    for name, run in {"keep_one": neardup.keep_one, "strip": substrings.strip, "clean": lambda d: decontaminate.clean(d, bench), "keep": quality.keep}.items():
+        out = run(docs)
+        assert out.columns == docs.columns and run(none).count() == 0, name
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in INTERNAL), name
+    mixed = mixing.mix(docs, epochs=3.0)
+    assert mixed.columns == [*docs.columns, "copy", "mix_key"] and mixing.mix(none).count() == 0
+    assert all(r[c] == f"mine {c}" for r in mixed.collect() for c in INTERNAL)
+    # of class {x more, y, y} the row with the least id stays; null ids stay
+    kept = sorted((str(r.doc_id), str(r.text)) for r in neardup.keep_one(docs).collect())
+    assert kept == sorted([("None", "a"), ("None", "b"), ("None", base), ("None", base), ("x", "None"), ("x", base + " more"), ("z", rows[8][1]), ("\u00e9", " \n ")])
+
+
+def test_repeated_substrings_of_any_ids(spark):
+    rng = random.Random(34)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = [base[k : k + 300] for k in range(0, 600, 90)] + [base[:250]] * 2
+    for ids in (["b", "a", None, None, "c", "a", "\u00e9", None, "a"], [5, 2**63 - 1, None, -7, 1, 1, 2**63 - 2, None, 3]):
+        rows = list(zip(ids, texts))
+        docs = spark.createDataFrame(rows, "doc_id string, text string" if "a" in ids else "doc_id long, text string").repartition(3)
+        want = brute_cut([(i.encode() if isinstance(i, str) else i, t) for i, t in rows])
+        got = substrings.report(docs).collect()
+        key = lambda i: i.encode() if isinstance(i, str) else i
+        assert sorted((str(key(r.doc_id)), *tuple(r)[1:]) for r in got) == sorted((str(key(i)), *want[key(i), t]) for i, t in rows)
+
+
+def test_mixing_with_more_sources_than_are_broadcast(spark):
+    rows = [(i, f"t{i}", f"s{i % 40}" if i % 3 else "big") for i in range(400)] + [(None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    some = [sorted(map(str, mixing.mix(docs, broadcast_sources=k).collect())) for k in (2_000, 5)]
+    assert some[0] == some[1] and len(some[0]) > 200
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(35)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60_000))
+    long = prose(rng, 250_000)
+    docs = frame(spark, [(1, han), (2, long), (3, "short one"), (4, long[:900_000] + " end")])
+    prototypes = language.learn(spark.createDataFrame([("zh", han[:5000]), ("en", long[:5000])], "lang string, text string"))
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, prototypes).collect()} == {1: "zh", 2: "en", 3: "en", 4: "en"}
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in substrings.report(docs).collect()}
+    assert cut[1] == (180_000, 0) and cut[4][1] >= 899_900
+    assert suffix_tree.score(docs, docs).count() == 4
+    assert sum(r.n_known for r in suffix_tree.score(docs, docs).collect()) == sum(len(t.split()) + 1 for t in (han, long, "short one", long[:900_000] + " end"))
+    bench = spark.createDataFrame([(1, " ".join(long.split()[-40:]))], "item_id int, text string")
+    assert {r.doc_id for r in decontaminate.find(docs, bench).where("contaminated").collect()} == {2}
+
+
 def brute_tree_score(texts, train):
     """log10 probability of each text: every byte by its longest retained context, found anew for each."""
     d = suffix_tree.DEPTH

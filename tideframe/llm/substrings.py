@@ -17,8 +17,9 @@ Exact, and without shuffling one row for each byte:
    each hash is found by an aggregate that combines before its shuffle.
 4. The repeats' ranges of each document are joined with the texts, merged and cut out.
 
-Order is by doc_id, then by hash of the text where rows repeat a doc_id; null ids come last. Rows
-equal in id and text are one document. Null text counts as empty. Matches never cross documents.
+Order is by doc_id, whatever its type, then by hash of the text where rows repeat a doc_id; null ids
+come last. Rows equal in id and text are one document. Whole numbers stand for themselves; ids of any
+other type are replaced by their ranks, which a range-partitioned sort counts. Null text counts as empty. Matches never cross documents.
 ``strip`` returns texts; a UTF-8 character that is cut in two there is dropped whole.
 """
 
@@ -40,6 +41,7 @@ SPAN = LENGTH - ANCHOR + 1
 HOT = 16_384
 BLOCK_BYTES = 3 << 20
 _PLACE_BITS = np.uint64(23)
+_LAST = (1 << 63) - 1
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -167,7 +169,7 @@ def _stream(batches):
 def _windows(docs: DataFrame, leaders: DataFrame, hot: int) -> DataFrame:
     """doc, sub, lo, hi of the repeated windows among the leaders (code, doc, sub, place, n)."""
     per = leaders.groupBy("doc", "sub").agg(F.collect_list(F.struct("code", "place", "n")).alias("found"))
-    held = docs.join(per, "doc").select("doc", "text", "sub", "found")
+    held = docs.join(per, ["doc", "sub"]).select("doc", "text", "sub", "found")
 
     def cut(batches):
         for batch in batches:
@@ -178,8 +180,6 @@ def _windows(docs: DataFrame, leaders: DataFrame, hot: int) -> DataFrame:
             code, place, n = (found.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             lists: list[list] = [[] for _ in range(6)]
             for i, t in enumerate(texts):
-                if subs[i] and int.from_bytes(hashlib.md5(t).digest()[:7]) != subs[i]:
-                    continue
                 for k in range(bounds[i], bounds[i + 1]):
                     p = int(place[k])
                     lo = p >> 16
@@ -313,22 +313,40 @@ def _ranges(few: DataFrame, hot: int) -> tuple[DataFrame, bool]:
     whole = settled.where("not leader").select(
         "doc", "sub", F.shiftright("place", 16).alias("lo"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("hi")
     )
-    parts = _windows(few, leaders.join(several, "code"), hot)
+    parts = _windows(few.withColumn("sub", _sub() if twice else F.lit(0).cast("long")), leaders.join(several, "code"), hot)
     found = whole.unionByName(parts).groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     return found, twice
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text")
-    )
+def _sub() -> F.Column:
+    """What tells apart the texts of one id: 56 bits of the text's md5."""
+    return F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 14), 16, 10).cast("long")
+
+
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with its rows' places in the order of ids as doc, null ids last."""
+    mine = docs[f"`{id_col}`"]
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        if docs.where(mine == _LAST).isEmpty():
+            return docs.select(F.coalesce(mine.cast("long"), F.lit(_LAST)).alias("doc"), row)
+    ids = stored(docs.select(mine.alias("id")).where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id").select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+    # places count from 0 in each partition; the partitions stand in order, and their sizes are few numbers
+    sizes = sorted((r.part, r.n) for r in ids.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    first = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before long"))
+    rank = ids.join(first, "part").select("id", (F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc"))
+    packed = docs.select(mine.alias("id"), row).join(rank, "id", "left")
+    return packed.select(F.coalesce("doc", F.lit(_LAST)).alias("doc"), "row")
 
 
 def _cut_all(rows: DataFrame, found: DataFrame, twice: bool, function, schema: T.StructType) -> DataFrame:
     """function(row values, kept bytes, removed, spans) over rows(doc, text, row) with their ranges."""
     if twice:
-        sub = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 14), 16, 10).cast("long")
-        both = rows.withColumn("sub", sub).join(found, ["doc", "sub"], "left").drop("sub")
+        both = rows.withColumn("sub", _sub()).join(found, ["doc", "sub"], "left").drop("sub")
     else:
         both = rows.join(found.drop("sub"), "doc", "left")
     both = both.select("doc", "text", "row", "found")
@@ -351,9 +369,10 @@ def _cut_all(rows: DataFrame, found: DataFrame, twice: bool, function, schema: T
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    few = _prepared(docs, id_col, text_col)
-    found, twice = _ranges(few, hot)
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
+    rows = _numbered(docs, "id").select("doc", F.coalesce("row.text", F.lit("")).alias("text"), F.col("row.id").alias("row"))
+    found, twice = _ranges(rows.select("doc", "text"), hot)
+    kind = docs.schema["id"].dataType.simpleString()
 
     def digest(texts, done):
         yield pa.array([len(t) for t in texts], pa.int64())
@@ -362,18 +381,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
         yield pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string())
 
     schema = T.StructType.fromDDL(f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    rows = few.withColumn("row", F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).cast(kind))
     return _cut_all(rows, found, twice, digest, schema)
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs with repeated passages cut out of text_col (and n_chars, where there is one, counted anew)."""
-    found, twice = _ranges(_prepared(docs, id_col, text_col), hot)
-    rows = docs.select(
-        F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"),
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row"),
-    )
+    rest = [c for c in docs.columns if c != text_col]
+    rows = _numbered(docs, id_col)
+    rows = rows.select("doc", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"), F.struct(*[F.col(f"row.`{c}`") for c in rest]).alias("row"))
+    found, twice = _ranges(rows.select("doc", "text"), hot)
 
     def texts_of(texts, done):
         yield pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())
