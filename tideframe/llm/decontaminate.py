@@ -23,6 +23,8 @@ n_items or item_ids. Repeated documents are judged alike. An empty benchmark or
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
@@ -62,15 +64,15 @@ class Written:
     """The words that are no names, as sorted hashes."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(np.asarray(hashes, np.uint64))
+        self.hashes = array("Q", np.sort(np.asarray(hashes, np.uint64)).tobytes())
 
     @classmethod
     def of(cls, words) -> Written:
         return cls(np.array([_word_hash(w) for w in words], np.uint64))
 
     def __contains__(self, word: str) -> bool:
-        h = np.uint64(_word_hash(word))
-        at = int(np.searchsorted(self.hashes, h))
+        h = _word_hash(word)
+        at = bisect_left(self.hashes, h)
         return at < len(self.hashes) and self.hashes[at] == h
 
 
@@ -188,15 +190,16 @@ class Index:
             self._sieves[size] = sieve
         return self._sieves[size]
 
-    def hits(self, texts: list[str]) -> dict[int, dict[int, list[tuple[int, int]]]]:
-        """For each text that shares windows with items: place and table row of those, by window size."""
-        known, parts, owner = self._known, [], []
+    def hits(self, texts: list[str]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
+        """For each text that shares windows with items: which of its words are tokens, and place and table row of the
+        windows, by window size."""
+        known, kept, parts, owner = self._known, [], [], []
         for i, t in enumerate(texts):
             h = np.fromiter(map(known.__getitem__, t.split()), np.uint64)
-            h = h[h != 0]
-            parts.append(h)
-            owner.append(np.full(len(h), i))
-        out: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+            kept.append(np.flatnonzero(h))
+            parts.append(h[kept[-1]])
+            owner.append(np.full(len(kept[-1]), i))
+        out: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
         if not parts:
             return out
         tokens, owner = np.concatenate(parts), np.concatenate(owner)
@@ -206,9 +209,11 @@ class Index:
             at = np.flatnonzero(self._sieve(size)[(own >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
             at = at[owner[at] == owner[at + size - 1]]
             low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], "right")
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+            some = low < high
+            for p, a, b in zip(at[some].tolist(), low[some].tolist(), high[some].tolist()):
                 i = int(owner[p])
-                out[i][size] += [(p - int(first[i]), row) for row in range(a, b)]
+                here = out.setdefault(i, (kept[i], defaultdict(list)))[1][size]
+                here += [(p - int(first[i]), row) for row in range(a, b)]
         return out
 
     def found(self, texts: list[str | None]) -> list[list[int]]:
@@ -227,24 +232,38 @@ class Index:
     def found_in(self, text: str | None) -> list:
         return sorted({self.items[i] for i in self.found([text])[0]})
 
-    def _held(self, text: str, shared: dict[int, list[tuple[int, int]]]) -> list[int]:
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size, places in shared.items():
+    def _held(self, text: str, shared: tuple[np.ndarray, dict[int, list[tuple[int, int]]]]) -> list[int]:
+        kept, by_size = shared
+        diagonals: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for size, places in by_size.items():
             _, items, at = self.tables[size]
             for p, row in places:
-                diagonals[int(items[row]), p - int(at[row])].append(int(at[row]))
-        tokens, words = template(text, self.written)
-        covered: dict[int, set[int]] = defaultdict(set)
-        for (i, shift), places in diagonals.items():
+                diagonals[int(items[row])][p - int(at[row])].append(int(at[row]))
+        raw: list[str] = []
+        words: dict[int, str] = {}
+        out = []
+        for i, shifts in diagonals.items():
             mine, own, size = self.tokens[i], self.words[i], min(WINDOW, len(self.tokens[i]))
-            places = [p for p in places if tokens[p + shift : p + shift + size] == mine[p : p + size]]
-            held = sorted({k for p in places for k in range(p, p + size)})
-            if not self._consistent(i, shift, held, words):
-                held = {k for p in places if words[p + shift : p + shift + size] == own[p : p + size] for k in range(p, p + size)}
-            covered[i].update(held)
-        return sorted(i for i, c in covered.items() if len(c) >= LEAST_COVER * len(self.tokens[i]))
-
-    def _consistent(self, i: int, shift: int, held: list[int], words: list[str]) -> bool:
+            if len({k for places in shifts.values() for p in places for k in range(p, p + size)}) < LEAST_COVER * len(mine):
+                continue
+            raw = raw or text.split()
+            covered: set[int] = set()
+            for shift, places in shifts.items():
+                ok = {}
+                for k in {k for p in places for k in range(p, p + size)}:
+                    w = raw[kept[k + shift]]
+                    words[k + shift] = _EDGE.sub("", w).lower()
+                    ok[k] = canonical(w, self.written) == mine[k]
+                places = [p for p in places if all(ok[k] for k in range(p, p + size))]
+                held = sorted({k for p in places for k in range(p, p + size)})
+                if not self._consistent(i, shift, held, words):
+                    held = {k for p in places if all(words[k + shift] == own[k] for k in range(p, p + size)) for k in range(p, p + size)}
+                covered.update(held)
+            if len(covered) >= LEAST_COVER * len(mine):
+                out.append(i)
+        return sorted(out)
+
+    def _consistent(self, i: int, shift: int, held: list[int], words: dict[int, str]) -> bool:
         """Whether each slot value of the item stands for one value of the document."""
         stands: dict[tuple[str, str], str] = {}
         names: dict[str, str] = {}
