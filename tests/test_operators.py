@@ -143,6 +143,15 @@ def test_statistics(spark):
     assert abs(n - 20_000) < 1_000
 
 
+def test_merged_statistics_compare_values(spark):
+    rows = [(1, "n", 5, 0, None, "9", "20"), (2, "n", 5, 0, None, "10", "100"), (1, "s", 5, 0, None, "9", "20"), (2, "s", 5, 0, None, "10", "100"), (1, "d", 4, 0, None, "1", None), (2, "d", 4, 0, None, "2", "3")]
+    parts = spark.createDataFrame(rows, "f int, field string, rows long, nulls long, nans long, lower string, upper string")
+    kinds = T.StructType.fromDDL("n long, s string, d double")
+    got = {r.field: (r.rows, r.lower, r.upper) for r in stats.merged_stats(parts, ["field"], kinds).collect()}
+    assert got == {"n": (10, "9", "100"), "s": (10, "10", "20"), "d": (8, None, None)}
+    assert stats.merged_stats(parts.limit(0), ["field"], kinds).count() == 0
+
+
 def test_paths():
     for p in ("a.b/data/p=0/0-1.t0.s0.v1.parquet", "t/data/p=2147483647/5-9.t3_-7.s12.a0123456789abcdef.v1.parquet"):
         assert paths.parse(p).path() == p

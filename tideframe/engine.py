@@ -91,7 +91,7 @@ class Files:
         fs.delete(path, True)
 
 
-_FILE = "partition int, start long, end long, spec int, bucket int, schema int, records long, bytes long, first_ts_ms long, added long, replaced long, location string, lower_offset long, upper_offset long, lower_ts timestamp_ntz, upper_ts timestamp_ntz"
+_FILE = "partition int, start long, end long, spec int, bucket int, schema int, records long, bytes long, first_ts_ms long, added long, replaced long, location string, lower_offset long, upper_offset long, lower_ts timestamp_ntz, upper_ts timestamp_ntz, bounds map<string,struct<lower:string,upper:string>>"
 
 
 class Engine:
@@ -194,11 +194,15 @@ class Engine:
         tidy = placed.repartition(*keys).sortWithinPartitions(*keys, "offset")
         tidy.withColumnRenamed("bucket", "bucket_no").withColumn("bucket", F.coalesce("bucket_no", F.lit(0))).drop("bucket_no", "offset").write.partitionBy("partition", "start", "end", "bucket").parquet(data)
         back = self.spark.read.parquet(data)
+        bounds, columns = stats.file_bounds(back.schema, {*FIXED.fieldNames(), "partition", "start", "end", "bucket", "ts_ms", "size"})
         measured = back.groupBy("partition", "start", "end", "bucket").agg(
             F.count(F.lit(1)).alias("records"), F.sum("size").alias("bytes"), F.min("ts_ms").alias("first_ts_ms"), F.min("_kafka_offset").alias("lower_offset"),
-            F.max("_kafka_offset").alias("upper_offset"), F.min("_kafka_timestamp").alias("lower_ts"), F.max("_kafka_timestamp").alias("upper_ts"),
+            F.max("_kafka_offset").alias("upper_offset"), F.min("_kafka_timestamp").alias("lower_ts"), F.max("_kafka_timestamp").alias("upper_ts"), bounds.alias("bounds"),
         )
-        none = self.table(topic)["specs"][spec] == "none"
+        table = self.table(topic)
+        if columns.items() - table.get("columns", {}).items():
+            self._change(topic, columns=table.get("columns", {}) | columns)
+        none = table["specs"][spec] == "none"
         where = F.concat(F.lit(f"{location}/partition="), "partition", F.lit("/start="), "start", F.lit("/end="), "end", F.lit("/bucket="), "bucket")
         rows = measured.withColumns({"location": where, "spec": F.lit(spec), "schema": F.lit(0), "added": F.lit(number), "replaced": F.lit(None)})
         if none:
@@ -265,11 +269,26 @@ class Engine:
             return None
         return self.spark.read.parquet(*[f"{self.warehouse}/{p}" for p in places]).drop("ts_ms", "size", "partition", "start", "end", "bucket")
 
+    def matching(self, topic: str, files: DataFrame, domains: dict) -> DataFrame:
+        """The files whose bounds allow rows in all domains; a domain by _kafka_partition or any column of the table counts."""
+        names, kinds, by = {"_kafka_offset": "offset", "_kafka_timestamp": "ts"}, self.table(topic).get("columns", {}), {}
+        for name, domain in domains.items():
+            if name == "_kafka_partition":
+                files = files.withColumns({"lower_partition": F.col("partition"), "upper_partition": F.col("partition")})
+                by["partition"] = domain
+            elif name in kinds:
+                bound = F.col("bounds")[name]
+                files = files.withColumns({f"lower_{name}": bound["lower"].cast(kinds[name]), f"upper_{name}": bound["upper"].cast(kinds[name])})
+                by[name] = domain
+            elif name in names:
+                by[names[name]] = domain
+        return pruning.pruned(files, by)
+
     def load(self, topic: str, view: str = "merged", as_of: int | None = None, as_of_timestamp: int | None = None, tail: DataFrame | None = None, domains: dict | None = None) -> DataFrame:
         """A view of one snapshot: the log, its history, or both with each record once.
 
-        tail: records past the snapshot that are not committed yet. domains (by _kafka_offset or
-        _kafka_timestamp) leave out files that cannot match; rows are not filtered by them."""
+        tail: records past the snapshot that are not committed yet. domains (by column) leave out files
+        whose bounds cannot match; rows are not filtered by them."""
         if view not in VIEWS:
             raise ValueError(f"no view {view!r}")
         known = self._snapshots(topic)
@@ -286,9 +305,7 @@ class Engine:
         cut = reduce(lambda a, b: a | b, [(F.col("_kafka_partition") == p) & (F.col("_kafka_offset") < e) for p, e in ends.items()], F.lit(False))
         if view != "lake":
             files = planning.files_of(self.files(topic), self.offsets(topic), s["id"])
-            names = {"_kafka_offset": "offset", "_kafka_timestamp": "ts"}
-            files = pruning.pruned(files, {names[k]: d for k, d in (domains or {}).items() if k in names})
-            log = self._read(topic, files)
+            log = self._read(topic, self.matching(topic, files, domains or {}))
             if log is not None:
                 parts.append(log.where(~cut))
             if tail is not None:

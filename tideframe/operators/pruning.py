@@ -85,12 +85,12 @@ def pruned(files: DataFrame, domains: dict[str, Domain]) -> DataFrame:
             continue
         low, high = F.col(f"lower_{name}"), F.col(f"upper_{name}")
         may = low.isNull() | high.isNull()
-        for a, b in domain.bounds():
+        for a, b, with_a, with_b in [*domain.ranges, *((v, v, True, True) for v in domain.values)]:
             p = F.lit(True)
             if a is not None:
-                p = p & (high >= F.lit(a))
+                p = p & (high >= F.lit(a) if with_a else high > F.lit(a))
             if b is not None:
-                p = p & (low <= F.lit(b))
+                p = p & (low <= F.lit(b) if with_b else low < F.lit(b))
             may = may | p
         if not domain.bounds():
             may = F.lit(True)

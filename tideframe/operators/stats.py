@@ -60,16 +60,44 @@ def column_stats(df: DataFrame, by: list[str], columns: list[str] | None = None,
     return wide.select(*by, F.explode(F.array(*[f"_{i}" for i in range(len(some))])).alias("s")).select(*by, "s.*")
 
 
-def merged_stats(stats: DataFrame, by: list[str]) -> DataFrame:
-    """Statistics of files put together: counts add up; bounds hold if every part with values has them."""
+def merged_stats(stats: DataFrame, by: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Statistics of files put together: counts add up; bounds hold if every part with values has them.
+
+    schema is that of the columns which stats(field, ...) describes: bounds are compared as values of
+    the field's type. Bounds of a field that it does not hold are compared as text."""
     without = (F.col("lower").isNull() | F.col("upper").isNull()) & (F.col("rows") > F.coalesce("nulls", F.lit(0)) + F.coalesce("nans", F.lit(0)))
+    of: dict[str, list[str]] = {}
+    for path, kind, bounds in leaves(schema) if schema else []:
+        if bounds and not isinstance(kind, T.StringType):
+            of.setdefault(kind.simpleString(), []).append(path)
+    low, high = F.min("lower"), F.max("upper")
+    if of:
+        typed = F.col("field").isin([x for paths in of.values() for x in paths])
+        mine = {kind: F.col("field").isin(paths) for kind, paths in of.items()}
+        low = F.coalesce(*[F.min(F.when(some, F.col("lower").cast(kind))).cast("string") for kind, some in mine.items()], F.min(F.when(~typed, F.col("lower"))))
+        high = F.coalesce(*[F.max(F.when(some, F.col("upper").cast(kind))).cast("string") for kind, some in mine.items()], F.max(F.when(~typed, F.col("upper"))))
     unknown = F.bool_or(without)
     return stats.groupBy(*by).agg(
-        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.sum("nans").alias("nans"),
-        F.when(~unknown, F.min("lower")).alias("lower"), F.when(~unknown, F.max("upper")).alias("upper"),
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.sum("nans").alias("nans"), F.when(~unknown, low).alias("lower"), F.when(~unknown, high).alias("upper"),
     )
 
 
+def file_bounds(schema: T.StructType, without: set[str]) -> tuple[Column, dict[str, str]]:
+    """An aggregate: map of column to lower and upper bound (as text) that a scan may skip files by; and the columns' types.
+
+    A column that holds NaN has no upper bound, since NaN compares above every number."""
+    kinds = {f.name: f.dataType for f in schema.fields if f.name not in without and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.BooleanType))}
+    parts = []
+    for name, kind in kinds.items():
+        c = F.col(f"`{name}`")
+        low, high = _bounded(c, kind, "truncate", 16)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            high = F.when(F.count_if(F.isnan(c)) == 0, high)
+        parts += [F.lit(name), F.struct(low.alias("lower"), high.alias("upper"))]
+    empty = F.lit(None).cast("map<string,struct<lower:string,upper:string>>")
+    return F.create_map(*parts) if parts else F.any_value(empty), {n: k.simpleString() for n, k in kinds.items()}
+
+
 def sketches(df: DataFrame, day: Column, columns: list[str]) -> DataFrame:
     """day, field, sketch of distinct values; nulls and empty bytes are left out."""
     def one(c: str) -> DataFrame:

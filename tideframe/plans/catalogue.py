@@ -106,15 +106,15 @@ def records_page(spark, d):
     return page.select(F.col("_kafka_offset").alias("o"), F.col("_kafka_timestamp").alias("ts"), F.col("_kafka_key").cast("string").alias("k"), F.col("_kafka_value").cast("string").alias("v"))
 
 
-@named(f"""with {LOG} select o, o::varchar as n, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as at, k as bytes, case when o % 2 = 0 then base64(from_hex('FF' || hex(k))) else k end as mixed
-    from log where p = 2""")
+@named(f"""with {LOG} select o, o::varchar as n, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as at, k as bytes, case when o % 2 = 0 then base64(from_hex('FF' || hex(k))) else k end as mixed, p
+    from log""")
 def rendered_values(spark, d):
-    log = source.events_log(spark, d).where("_kafka_partition = 2")
+    log = source.events_log(spark, d)
     mixed = F.when(F.col("_kafka_offset") % 2 == 0, F.concat(F.unhex(F.lit("FF")), F.col("_kafka_key"))).otherwise(F.col("_kafka_key"))
     r = render.rendered
     return log.select(
         F.col("_kafka_offset").alias("o"), r(F.col("_kafka_offset"), T.LongType()).alias("n"), r(F.col("_kafka_timestamp"), T.TimestampNTZType()).alias("at"),
-        r(F.col("_kafka_key"), T.BinaryType()).alias("bytes"), r(mixed, T.BinaryType()).alias("mixed"),
+        r(F.col("_kafka_key"), T.BinaryType()).alias("bytes"), r(mixed, T.BinaryType()).alias("mixed"), F.col("_kafka_partition").alias("p"),
     )
 
 
@@ -222,14 +222,6 @@ def not_adjacent(spark, d):
     return planning.not_adjacent(demo.files(spark, d).where("start <> 500")).select("partition", "start", "end", "before")
 
 
-@named(f'with {LOG} select p, o, count(*) over (partition by o % 7) as n from log where o < 700')
-def spec_evolution(spark, d):
-    """Records under an old (hour) and a new (day) partition spec read together."""
-    r = demo.records(spark, d).where("o < 700")
-    old = r.where("o % 2 = 0").withColumns({"spec": F.lit(0), "bucket": buckets.bucket(F.col("ms"), "hour")})
-    new = r.where("o % 2 = 1").withColumns({"spec": F.lit(1), "bucket": buckets.bucket(F.col("ms"), "day")})
-    return old.unionByName(new).select("p", "o", F.count(F.lit(1)).over(Window.partitionBy(F.col("o") % 7)).alias("n"))
-
 
 # -- snapshots and views ----------------------------------------------------------------------------
 
@@ -253,50 +245,6 @@ def commit_summary(spark, d):
     return planning.commit_summary(f.where("added <= 2"), f.where("added <= 3 and start <> 0"))
 
 
-def _views(spark, d):
-    """Log from offset 200 on, history below it with one record deleted twice, and a tail from 400."""
-    r = demo.records(spark, d).select("p", "o", "v")
-    ends = spark.createDataFrame([(p, 200) for p in range(4)], "p int, tier_end long")
-    log = r.where("o < 400").join(F.broadcast(ends), "p").where(F.col("o") >= F.col("tier_end")).drop("tier_end")
-    lake = r.where("o < 300").join(F.broadcast(ends), "p").where(F.col("o") < F.col("tier_end")).drop("tier_end")
-    return lake, log, r.where("o >= 400 and o < 450")
-
-
-@named(f"with {LOG} select p, o, v from log where o < 400")
-def view_merged(spark, d):
-    lake, log, _ = _views(spark, d)
-    return lake.unionByName(log)
-
-
-@named(f"with {LOG} select p, o, v from log where o >= 200 and o < 400")
-def view_stream(spark, d):
-    return _views(spark, d)[1]
-
-
-@named(f"with {LOG} select p, o, v from log where o < 200")
-def view_lake(spark, d):
-    return _views(spark, d)[0]
-
-
-@named(f"with {LOG} select p, o, v from log where o < 450")
-def load_with_tail(spark, d):
-    lake, log, tail = _views(spark, d)
-    return lake.unionByName(log).unionByName(tail, allowMissingColumns=True)
-
-
-@named(f"with {LOG} select (o >= 200) as in_stream, count(*) as n, count(distinct (p, o)) as distinct_n from log where o < 400 group by 1")
-def views_split(spark, d):
-    both = view_merged(spark, d).groupBy((F.col("o") >= 200).alias("in_stream"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.struct("p", "o")).alias("distinct_n"))
-
-
-@named(f"with {LOG} select p, o, v from log where o < 200 and o % 10 <> 3")
-def history_deletes(spark, d):
-    lake = _views(spark, d)[0].withColumns({"file": F.col("p"), "pos": F.col("o")})
-    gone = lake.where("o % 10 = 3").select("file", "pos")
-    return tiering.without_deleted(lake, gone.unionByName(gone)).select("p", "o", "v")
-
-
 # -- compaction, tiering, upkeep --------------------------------------------------------------------
 
 _RUNS = f"""{FILES}, f as (select *, row_number() over (partition by partition, bucket order by start) as n from files),
@@ -330,13 +278,16 @@ def assembly_rewrite(spark, d):
     return rows.groupBy(F.col("_kafka_partition").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_kafka_offset").alias("offsets"), F.sum("sz").alias("bytes"))
 
 
-@named("""select event_type as field, count(*) as "rows", 0::bigint as nulls, 0::bigint as nans, null::varchar as lower, null::varchar as upper from events group by event_type""")
+@named("""select 'event_id' as field, count(*) as "rows", count(*) - count(event_id) as nulls, null::bigint as nans, min(event_id)::varchar as lower, max(event_id)::varchar as upper from events
+    union all select 'user_id', count(*), count(*) - count(user_id), null, min(user_id)::varchar, max(user_id)::varchar from events
+    union all select 'value', count(*), count(*) - count(v), 0, min(v)::varchar, max(v)::varchar from (select floor(value) as v from events)
+    union all select 'ts', count(*), count(*) - count(ts), null, strftime(min(ts), '%Y-%m-%d %H:%M:%S'), strftime(max(ts), '%Y-%m-%d %H:%M:%S') from (select date_trunc('second', ts)::timestamp as ts from events)
+    union all select 'event_type', count(*), count(*) - count(event_type), null, min(event_type), max(event_type) from events""")
 def merged_statistics(spark, d):
-    """Parts' statistics put together; a part without an upper bound leaves the whole without bounds."""
-    e = _t(spark, d, "events").groupBy((F.col("event_id") % 10).alias("part"), F.col("event_type").alias("field"))
-    s = e.agg(F.count(F.lit(1)).alias("rows"), F.min("user_id").cast("string").alias("lower"), F.max("user_id").cast("string").alias("upper"))
-    s = s.withColumns({"upper": F.when(F.col("part") < 9, F.col("upper")), "nulls": F.lit(0).cast("long"), "nans": F.lit(0).cast("long")})
-    return stats.merged_stats(s, ["field"])
+    """The parts' statistics put together are the table's: bounds are compared as values of their types."""
+    e = _t(spark, d, "events").withColumns({"part": F.col("user_id") % 7, "value": F.floor("value").cast("double"), "ts": F.date_trunc("SECOND", "ts").cast("timestamp_ntz")})
+    parts = stats.column_stats(e, ["part"], ["event_id", "user_id", "value", "ts", "event_type"])
+    return stats.merged_stats(parts, ["field"], e.schema)
 
 
 @named(f"with {FILES} select bucket, added, count(*) as files, min(start) as low, max(\"end\") as high from files group by all")
@@ -401,14 +352,6 @@ def tier_sorted_write(spark, d):
     )
 
 
-@named(f"with {LOG} select p, greatest(sum(case when p % 2 = 0 then 10 else -5 end) over (partition by p), 0)::bigint as lag, o from log where o = 0 order by 2 desc, 1 limit 10")
-def lag_ranking(spark, d):
-    ends = demo.records(spark, d).groupBy("p").agg((F.max("o") + 1).alias("end"))
-    stable = ends.withColumn("stable", F.col("end") + F.when(F.col("p") % 2 == 0, 10).otherwise(-5))
-    lag = stable.groupBy("p").agg(F.sum(F.greatest(F.col("stable") - F.col("end"), F.lit(0))).alias("lag"))
-    return lag.withColumn("o", F.lit(0).cast("long")).orderBy(F.desc("lag"), "p").limit(10)
-
-
 @named("""with n as (select n_name as name from nation), k as (select r_name as node from region), x as (select name, node, sha256(node || ':' || name)[:16] as h from n, k)
     select name, arg_max(node, h) as owner from x group by name""")
 def rendezvous_owner(spark, d):
@@ -650,7 +593,8 @@ def latest_per_user(spark, d):
 @named(f"with {LOG} select count(*) as n, count(distinct (p, o)) as distinct_n, (select count(*) from (select distinct p, o from log)) as rows_n from log")
 def distinct_partition_offset(spark, d):
     r = demo.records(spark, d)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.struct("p", "o")).alias("distinct_n")).withColumn("rows_n", F.lit(r.select("p", "o").distinct().count()))
+    each = r.groupBy("p", "o").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_n"), F.count(F.struct("p", "o")).alias("rows_n"))
 
 
 @named(f"with {LOG} select json_extract_string(v, '$.k') as kind, count(*) as n from log group by 1")
@@ -658,10 +602,10 @@ def json_kind_counts(spark, d):
     return demo.records(spark, d).groupBy(F.get_json_object("v", "$.k").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@named(f"with {LOG} select p, o, case when o % 3 = 1 then o end as number, o % 3 <> 1 as raw from log where o < 90")
+@named(f"with {LOG} select p, o, case when o % 3 = 1 then o end as number, o % 3 <> 1 as raw from log")
 def typed_columns(spark, d):
     """Records of several schema versions: the promoted column where decoded, raw bytes elsewhere."""
-    r = demo.records(spark, d).where("o < 90")
+    r = demo.records(spark, d)
     f = lambda name, kind, i: T.StructField(name, kind, True, {"id": i})
     now = T.StructType([f("p", T.IntegerType(), 1), f("o", T.LongType(), 2), f("number", T.LongType(), 10), f("raw", T.StringType(), 6)])
 
@@ -756,3 +700,6 @@ def stream_ingest_counts(spark, d):
     index = lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
     follow(spark, log.schema, f"{root}/in", f"{root}/state", index, files_per_batch=1).awaitTermination()
     return spark.read.parquet(f"{root}/out").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("low"), F.max("o").alias("high"))
+
+
+from tideframe.plans import tables  # noqa: E402, F401  registers the queries over stored tables
