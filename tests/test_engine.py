@@ -117,7 +117,7 @@ def test_broken_tiering_is_finished_or_undone(engine, spark, small):
 def test_files_are_skipped_by_the_bounds_of_any_column(engine, spark):
     """3,600 records in 36 files of 3 partitions: the published shape of pruning before compaction."""
     rows = spark.range(3600).select(
-        (F.col("id") % 3).cast("int").alias("_kafka_partition"), F.expr("id div 3").alias("_kafka_offset"), F.timestamp_micros(F.col("id") * 12_000_000).cast("timestamp_ntz").alias("_kafka_timestamp"),
+        F.expr("id div 100 % 3").cast("int").alias("_kafka_partition"), F.expr("id div 300 * 100 + id % 100").alias("_kafka_offset"), F.timestamp_micros(F.col("id") * 12_000_000).cast("timestamp_ntz").alias("_kafka_timestamp"),
         F.lit(None).cast("binary").alias("_kafka_key"), F.array().cast(HEADERS).alias("_kafka_headers"), F.lit(b"x").alias("_kafka_value"), "id", F.when(F.col("id") % 100 != 7, F.col("id") % 1000).cast("double").alias("amount"),
     )
     engine.add_table("wide", 3, granularity="hour", file_bytes=100, file_window_ms=1 << 40)
@@ -126,7 +126,7 @@ def test_files_are_skipped_by_the_bounds_of_any_column(engine, spark):
     count = lambda **domains: engine.matching("wide", files, domains).count()
     assert files.count() == 36
     assert count(id=Domain(values=(1234,))) == 1
-    assert count(id=Domain(((2000, 2400, True, True),))) == 9
+    assert count(id=Domain(((2000, 2400, True, True),))) == 5
     assert count(_kafka_partition=Domain(values=(1,)), id=Domain(((None, 600, True, False),))) == 2
     assert count(_kafka_partition=Domain(values=(1,))) == 12
     assert count(amount=Domain(((5000.0, None, False, True),))) == 0 and count(amount=Domain(null=True)) == 36
