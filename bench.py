@@ -22,19 +22,22 @@ HEADLINE = (
 
 
 def pruning(spark, sf_dir: str) -> dict[str, str]:
-    """Files read of all files for predicates of the published shapes, over month files of lineitem."""
-    from pyspark.sql import functions as F
-
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    month = F.date_format("l_shipdate", "yyyy-MM")
-    files = li.groupBy(month.alias("month"), (F.col("l_orderkey") % 2).alias("partition")).agg(F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high")).toPandas()
-    total = len(files)
-    read = lambda m: f"{int(m.sum())} of {total}"
-    return {
-        "l_shipdate in January 1996": read((files.high >= "1996-01-01") & (files.low < "1996-02-01")),
-        "l_shipdate in 1996": read((files.high >= "1996-01-01") & (files.low < "1997-01-01")),
-        "partition = 1": read(files.partition == 1),
+    """Files that the engine would read of all files of lineitem, for predicates of the published shapes."""
+    from datetime import datetime
+
+    from tideframe.operators.pruning import Domain
+    from tideframe.plans import tables
+
+    engine = tables._made(spark, sf_dir, tables._typed)
+    files = engine.files("lineitem")
+    total = files.count()
+    between = lambda a, b: Domain(((datetime(*a), datetime(*b), True, False),))
+    shapes = {
+        "l_shipdate in January 1996": {"l_shipdate": between((1996, 1, 1), (1996, 2, 1))},
+        "l_shipdate in 1996": {"l_shipdate": between((1996, 1, 1), (1997, 1, 1))},
+        "partition = 1": {"_kafka_partition": Domain(values=(1,))},
     }
+    return {name: f"{engine.matching('lineitem', files, domains).count()} of {total}" for name, domains in shapes.items()}
 
 
 def main() -> None:
