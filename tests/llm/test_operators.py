@@ -101,6 +101,20 @@ def test_pages(spark):
     assert pages.main_text(soup) == "\n".join(["Title", (SENTENCE * 2).strip(), SENTENCE.strip()])
     for odd in (None, "", "<", "<p", "<!-- never closed <p>x", "<div class='a", "</p></div>", "<p>" * 3000 + "x", '<a title="' * 500):
         assert isinstance(pages.main_text(odd), str)
+    # names are a penalty, paths decide: words of the article survive their class, a link, a caption, a table
+    inner = (
+        f"<h1>T</h1><p>{SENTENCE * 2}</p><p class='share-price'>Up 3 %.</p><p><a href=x>A linked sentence.</a></p><figure><figcaption>Caption.</figcaption></figure>"
+        "<table><tr><td>1</td><td>x</td></tr></table><div class='social-share'><a>Tweet</a></div><div class='ad-slot'>Buy.</div><ul class=tags><li><a href=q>t</a></li></ul>"
+    )
+    want = "\n".join(["T", (SENTENCE * 2).strip(), "Up 3 %.", "A linked sentence.", "Caption.", "1", "x"])
+    thread = f"<p>{SENTENCE * 4}</p>" * 6
+    assert pages.main_text(f"<div class='layout has-sidebar'><nav>n</nav><article>{inner}</article><div class=sidebar>{SENTENCE}</div></div><div class=comments>{thread}</div>") == want
+    assert pages.main_text(f"<form id=f><div id=menu><a>x</a></div><main>{inner}</main><input value=1></form><div class=cookie-notice>{SENTENCE}</div>") == want
+    # nothing but deep nesting, with stray ends: linear in the page
+    deep = pages.main_text("<div>" * 20_000 + f"<p>{SENTENCE}</p></section></li>" * 500)
+    assert deep == "\n".join([SENTENCE.strip()] * 500)
+    assert pages.main_text(f"<p>{SENTENCE * 50_000}") == (SENTENCE * 50_000).strip()
+    want = "\n".join(["Head&line", (SENTENCE + "More text here.").strip(), (SENTENCE * 3).strip(), "first item, long enough to read."])
     rows = [(1, "u", page, 5), (None, None, None, 6), (1, "u", page, 5)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long"))
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got.collect()) == sorted([("1", want, len(want)), ("None", "", 0), ("1", want, len(want))])
