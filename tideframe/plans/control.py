@@ -27,12 +27,14 @@ def snapshot_totals(snapshots: DataFrame, offsets: DataFrame, files: DataFrame)
     o = offsets.select("topic_id", "id", "partition", F.col("start").alias("_s"), F.col("end").alias("_e"))
     f = files.join(o, ["topic_id", "partition"]).where(covers(F.col("_s"), F.col("_e"), F.col("start"), F.col("end")))
     f = f.where((F.coalesce("replaced", F.lit(1 << 62)) > F.col("id")) & (F.col("added") <= F.col("id")))
-    held = f.select("topic_id", "id", "partition", "start", "end", "bucket", "records")
-    before = held.select("topic_id", F.col("id").alias("previous"), "partition", "start", "end", "bucket", F.lit(1).alias("_had"))
-    both = s.join(held, ["topic_id", "id"]).join(before, ["topic_id", "previous", "partition", "start", "end", "bucket"], "left")
-    return both.groupBy("topic_id", "id", "previous").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.count_if(F.col("_had").isNull()).alias("new_files")
-    )
+    # the last snapshot before this one that held the same file
+    one = Window.partitionBy("topic_id", "partition", "start", "end", "bucket").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
+    held = f.select("topic_id", "id", "records", F.max("id").over(one).alias("_had"))
+    counts = held.groupBy("topic_id", "id", F.coalesce("_had", F.lit(-1)).alias("_had")).agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records"))
+    return s.join(counts, ["topic_id", "id"]).groupBy("topic_id", "id", "previous").agg(
+        F.sum("n").alias("files"), F.sum("records").alias("records"),
+        F.sum(F.when(F.col("_had") == F.col("previous"), 0).otherwise(F.col("n"))).alias("new_files"),
+    )
 
 
 def trimmed_files(files: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,9 +54,13 @@ def spans(aborted: DataFrame, markers: DataFrame) -> DataFrame:
 
     aborted(partition, producer, first) names first offsets; markers(partition, producer, offset) are
     abort markers: a transaction ends at its producer's next one. Without one it is still open."""
-    ends = aborted.alias("a").join(markers.alias("m"), ["partition", "producer"], "left").where("m.offset is null or m.offset >= a.first")
-    out = ends.groupBy("partition", "producer", "first").agg(F.min("offset").alias("marker"))
-    return aborted.join(out, ["partition", "producer", "first"], "left")
+    none = F.lit(None).cast("long")
+    both = aborted.select("partition", "producer", "first", F.col("first").alias("_at"), none.alias("_end")).unionByName(
+        markers.select("partition", "producer", none.alias("first"), F.col("offset").alias("_at"), F.col("offset").alias("_end"))
+    )
+    # from the last offset down, the least marker so far is the next one: one pass over a producer's rows
+    later = Window.partitionBy("partition", "producer").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("marker", F.min("_end").over(later)).where("first is not null").select("partition", "producer", "first", "marker")
 
 
 def read_committed(batches: DataFrame, aborted: DataFrame, markers: DataFrame) -> DataFrame:
