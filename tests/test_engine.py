@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideframe.engine import Conflict, Engine
+from tideframe.functions.placement import share
 from tideframe.operators.pruning import Domain
 from tideframe.sources.log import HEADERS, events_log
 
@@ -42,6 +43,21 @@ def test_ingest_views_time_travel_and_tail(engine, spark, small):
         assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][1] == 200
     some = engine.load("events", domains={"_kafka_offset": Domain(((10, 20, True, True),))})
     assert set(keys(log.where("_kafka_offset between 10 and 20"))) <= set(keys(some)) and some.count() < engine.load("events").count()
+    seen, at = [], None
+    while True:
+        page, at = engine.records_page("events", 1, at, limit=70)
+        seen += [r._kafka_offset for r in page.collect()]
+        if at is None:
+            break
+    assert seen == sorted(r._kafka_offset for r in log.where("_kafka_partition = 1 and _kafka_offset < 200").select("_kafka_offset").collect())
+    middle = log.where("_kafka_partition = 1 and _kafka_offset = 150").first()._kafka_timestamp
+    first = log.where((F.col("_kafka_partition") == 1) & (F.col("_kafka_timestamp") >= middle)).agg(F.min("_kafka_offset")).first()[0]
+    assert engine.records_page("events", 1, timestamp=middle, limit=5)[0].first()._kafka_offset == first
+    assert engine.records_page("events", 1, offset=10**9)[1] is None and engine.records_page("events", 77)[0].count() == 0
+    engine.add_table("More", 1)
+    assert engine.tables_page("merged", 1) == (["events"], "events") and engine.tables_page("merged", 1, "events") == (["more"], None)
+    assert set(engine.capabilities()) == {"filter", "limit", "top_n"}
+    assert (share(7, 3), share(6, 3), share(0, 3)) == (3, 2, 0)
     engine.register("events")
     rows, more = engine.sql("select count(*) as n from merged_events")
     assert rows[0].n == 800 and not more

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tideframe.functions.buckets import bucket, bucket_ended
 from tideframe.operators import grouping, planning, pruning, stats, tiering
 from tideframe.operators.paths import tail_snapshot_id
-from tideframe.sources.log import FIXED, browse, millis, record_bytes
+from tideframe.sources.log import FIXED, browse, millis, offset_at, record_bytes
 
 VIEWS = ("merged", "stream", "lake")
 
@@ -339,6 +339,16 @@ class Engine:
             raise KeyError(namespace)
         return self.list_tables()
 
+    def tables_page(self, namespace: str, limit: int = 50, token: str | None = None) -> tuple[list[str], str | None]:
+        """At most limit lower-case table names after the token's, sorted, and the next page's token, None at the end."""
+        names = sorted({t.lower() for t in self.tables(namespace)})
+        rest = [t for t in names if token is None or t > token]
+        return rest[:limit], rest[limit - 1] if len(rest) > limit else None
+
+    def capabilities(self) -> dict[str, list[str]]:
+        """What a scan does by itself; aggregates, joins and other expressions are left to the query engine."""
+        return {"filter": ["sorted ranges", "sets of equal values", "nullable comparison"], "limit": ["integer constant"], "top_n": ["order by"]}
+
     def schema(self, topic: str, view: str = "merged") -> T.StructType:
         return self.load(topic, view).schema
 
@@ -349,6 +359,24 @@ class Engine:
     def records(self, topic: str, partition: int, offset: int = 0, limit: int = 50) -> DataFrame:
         return browse(self.load(topic), partition, offset, limit)
 
+    def records_page(self, topic: str, partition: int, offset: int | None = None, timestamp=None, limit: int = 50, span: int = 10) -> tuple[DataFrame, int | None]:
+        """A page of a partition's records from an offset, a time or the indexed start on, and the next page's offset.
+
+        The start is brought inside the indexed offsets; the page ends after limit records or span times as
+        many offsets. The next offset is None once the page reaches the indexed end."""
+        limit = min(max(limit, 1), 500)
+        s = self._latest(topic)
+        first, end = s["offsets"].get(str(partition), (0, 0)) if s else (0, 0)
+        log = self.load(topic)
+        if offset is None and timestamp is not None:
+            found = offset_at(log.where(F.col("_kafka_partition") == partition), F.lit(timestamp)).first()
+            offset = found.offset if found else end
+        start = min(max(first if offset is None else offset, first), end)
+        page = browse(log, partition, start, limit, span).persist()
+        n, last = page.agg(F.count(F.lit(1)), F.max("_kafka_offset")).first()
+        following = last + 1 if n == limit else min(start + span * limit, end)
+        return page, following if following < end else None
+
     def overview(self, stable: DataFrame) -> DataFrame:
         """Lag, records and bytes of each table, most lagging first; stable(topic, partition, stable)."""
         parts = [self.partitions(t).withColumn("topic", F.lit(t)) for t in self.list_tables()]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tideframe.functions import buckets, render, wire
+from tideframe.functions.placement import owners
 from tideframe.operators import grouping, planning, pruning, schema, stats, tiering
 from tideframe.plans import control, demo
 from tideframe.plans.demo import BATCHES, FILES, LOG, RANGE, RANGES, SNAPSHOTS, TOPICS
@@ -357,9 +358,7 @@ def tier_sorted_write(spark, d):
 def rendezvous_owner(spark, d):
     n = _t(spark, d, "nation").select(F.col("n_name").alias("name"))
     nodes = [r.r_name for r in _t(spark, d, "region").orderBy("r_name").collect()]  # the cluster's nodes, not data
-    each = n.select("name", F.explode(F.array(*[F.lit(x) for x in nodes])).alias("node"))
-    rank = F.substring(F.sha2(F.concat_ws(":", "node", "name"), 256), 1, 16)
-    return each.groupBy("name").agg(F.max_by("node", rank).alias("owner"))
+    return owners(n, nodes)
 
 
 # -- control plane ----------------------------------------------------------------------------------
