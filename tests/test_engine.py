@@ -148,3 +148,133 @@ def test_files_are_skipped_by_the_bounds_of_any_column(engine, spark):
     assert count(amount=Domain(((5000.0, None, False, True),))) == 0 and count(amount=Domain(null=True)) == 36
     some = engine.load("wide", domains={"id": Domain(((2000, 2400, True, True),))}).where("id between 2000 and 2400")
     assert some.count() == 401
+
+
+def values(df, *names):
+    return sorted((tuple(r) for r in df.select(*names).collect()), key=str)
+
+
+def test_retention_moves_starts_and_collects_what_no_commit_names(engine, spark, small):
+    log = events_log(spark, small).where("_kafka_offset < 120")
+    engine.add_table("events", 4, file_bytes=1 << 10, file_window_ms=400 * DAY, granularity="month")
+    engine.ingest("events", log, now_ms=1)
+    starts = {p: sorted(r.start for r in engine.files("events").where(F.col("partition") == p).select("start").distinct().collect()) for p in range(4)}
+    moved = engine.trim("events", {0: 30, 1: 0, 2: 10**6}, now_ms=2)
+    assert moved == {0: min(s for s in starts[0] if s >= 30), 2: 120}
+    left = [k for k in keys(log) if k[1] >= moved.get(k[0], 0)]
+    assert keys(engine.load("events")) == left and keys(engine.load("events", as_of=1)) == keys(log)
+    assert engine.trim("events", {0: 30}) == {}
+    assert engine.collect("events") == []  # the first snapshot still reads everything
+    engine.expire("events", 1 << 42)
+    gone = engine.collect("events")
+    assert gone and all("/partition=0/" in g or "/partition=2/" in g for g in gone)
+    assert keys(engine.load("events")) == left
+    # a write that broke off before its commit: not read, in nobody's way, and collected after the grace
+    log.write.parquet(f"{engine.warehouse}/events/data/9-broken")
+    spark.createDataFrame([], "a int").write.parquet(f"{engine.warehouse}/events/files/3-broken")
+    more = events_log(spark, small).where("_kafka_offset >= 120 and _kafka_offset < 130")
+    assert engine.ingest("events", more) == 3
+    assert not any("broken" in g for g in engine.collect("events"))
+    assert {"events/data/9-broken", "events/files/3-broken"} <= set(engine.collect("events", 1 << 42))
+    assert keys(engine.load("events")) == sorted(left + keys(more))
+
+
+def test_sketches_summaries_and_manifests_of_commits(engine, spark, small):
+    log = events_log(spark, small)
+    engine.add_table("events", 4, file_bytes=1 << 12, file_window_ms=400 * DAY, granularity="month")
+    assert engine.distinct_counts("events").count() == 0
+    engine.ingest("events", log.where("_kafka_offset < 100"), now_ms=1)
+    engine.ingest("events", log.where("_kafka_offset >= 100"), now_ms=2)
+    engine.compact("events", 1 << 42)
+    n = {r.field: r.ndv for r in engine.distinct_counts("events").collect()}
+    exact = log.agg(F.countDistinct("_kafka_key"), F.countDistinct("_kafka_offset"), F.countDistinct("_kafka_partition")).first()
+    assert (n["_kafka_key"], n["_kafka_offset"], n["_kafka_partition"]) == tuple(exact)  # exact below the sketch's size
+    first, second, third = (engine.summary("events", i).first() for i in (1, 2, 3))
+    assert (first.operation, first.added_records, first.total_records) == ("append", 400, 400)
+    assert (second.operation, second.added_records, second.deleted_files, second.total_records) == ("append", log.count() - 400, 0, log.count())
+    assert third.operation == "overwrite" and third.total_records == log.count() and third.total_files < second.total_files
+    assert engine.manifests("events").agg(F.sum("files")).first()[0] == third.total_files
+    with pytest.raises(KeyError):
+        engine.summary("events", 9)
+
+
+def test_stable_ends_and_a_stream(engine, spark, small, tmp_path):
+    log = events_log(spark, small)
+    gaps = log.where("_kafka_offset % 10 <> 0 and _kafka_offset < 95")
+    engine.add_table("gaps", 4, file_bytes=1 << 10, file_window_ms=400 * DAY, granularity="month")
+    engine.ingest("gaps", gaps.where("_kafka_offset < 50"), stable={p: 50 for p in range(4)})
+    engine.ingest("gaps", gaps.where("_kafka_offset >= 50"), stable={p: 100 for p in range(4)})
+    assert keys(engine.load("gaps")) == keys(gaps)
+    ranges = engine.files("gaps").select("partition", "start", "end").distinct().orderBy("partition", "start").collect()
+    for p in range(4):
+        own = [(r.start, r.end) for r in ranges if r.partition == p]
+        assert own[-1][1] == 100 and all(a[1] == b[0] for a, b in zip(own, own[1:])) and any(b[0] == 50 for b in own)
+    with pytest.raises(ValueError):
+        engine.ingest("gaps", gaps.where("_kafka_offset < 50"), stable={p: 120 for p in range(4)})
+    engine.add_table("live", 4, file_bytes=1 << 12, file_window_ms=400 * DAY, granularity="month")
+    for low in (0, 100):
+        log.where(f"_kafka_offset >= {low} and _kafka_offset < {low + 100}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        engine.follow("live", str(tmp_path / "in"), str(tmp_path / "state"), files_per_batch=1).awaitTermination()
+        assert keys(engine.load("live")) == keys(log.where(f"_kafka_offset < {low + 100}"))
+    assert engine.table("live") and engine._latest("live")["mark"] == {str(tmp_path / "state"): 1}
+    n = engine.snapshots("live").count()
+    for name in ("1", ".1.crc"):  # the last batch is repeated, as after a failure
+        (tmp_path / "state" / "commits" / name).unlink()
+    engine.follow("live", str(tmp_path / "in"), str(tmp_path / "state"), files_per_batch=1).awaitTermination()
+    assert engine.snapshots("live").count() == n and keys(engine.load("live")) == keys(log.where("_kafka_offset < 200"))
+
+
+def test_typed_columns_of_several_schemas(engine, spark, small):
+    from tideframe.sources.decode import JsonSchema
+
+    log = events_log(spark, small)
+    old = JsonSchema({"type": "object", "properties": {"k": {"type": "integer"}}})
+    new = JsonSchema({"type": "object", "properties": {"k": {"type": "integer"}, "more": {"type": "string"}}})
+    engine.add_table("typed", 4, file_bytes=1 << 20, file_window_ms=400 * DAY, granularity="month")
+    first = log.where("_kafka_offset < 40").withColumn("_kafka_value", F.when(F.col("_kafka_offset") % 5 == 0, F.lit(b"{")).otherwise(F.col("_kafka_value")))
+    engine.ingest_typed("typed", first, lambda: old)
+    second = log.where("_kafka_offset >= 40 and _kafka_offset < 60").withColumn("_kafka_value", F.lit(b'{"k": 7, "more": "m"}'))
+    engine.ingest_typed("typed", second, lambda: new)
+    want = values(first.where("_kafka_offset % 5 <> 0").selectExpr("_kafka_partition", "_kafka_offset", "cast(get_json_object(cast(_kafka_value as string), '$.k') as bigint)"), "*")
+    loaded = engine.load("typed")
+    assert values(loaded.where("_kafka_offset < 40 and _kafka_offset % 5 <> 0"), "_kafka_partition", "_kafka_offset", "k") == want
+    assert loaded.where("_kafka_offset < 40 and _kafka_offset % 5 = 0 and k is null and _kafka_value is not null and more is null").count() == 32
+    assert loaded.where("_kafka_offset >= 40 and more = 'm' and k = 7 and _kafka_value is null").count() == 80
+    before = values(loaded, "_kafka_partition", "_kafka_offset", "k", "more")
+    engine.compact("typed", 1 << 42)
+    assert values(engine.load("typed"), "_kafka_partition", "_kafka_offset", "k", "more") == before
+    with pytest.raises(ValueError):
+        engine.ingest("typed", log.where("_kafka_offset >= 60").withColumn("k", F.lit("text")))
+    assert values(engine.load("typed"), "_kafka_partition", "_kafka_offset", "k", "more") == before
+
+
+def test_registry_histories_and_removal(engine, spark, small):
+    from pyspark.sql import types as T
+    from tideframe.operators.schema import Rejected
+
+    kind = T.StructType([T.StructField("n", T.IntegerType())])
+    engine.add_schema("1", kind, "events-value")
+    engine.add_schema("2", kind, None, ["1", "9"])
+    engine.add_schema("1", T.StructType(), "other-key")
+    known = Engine(spark, engine.warehouse).registry()
+    assert known.resolve("1", "events") == kind == known.resolve("1", "other", "key")
+    assert known.resolve("1", "other") == Rejected("not_accepted", "1") and known.resolve("2", "events") == Rejected("missing", "9")
+    log = events_log(spark, small).where("_kafka_offset < 40")
+    engine.add_table("events", 4, file_bytes=1 << 20, file_window_ms=400 * DAY, granularity="month")
+    engine.ingest("events", log, now_ms=1)
+    assert engine.list_tables() == ["events"]
+    spark.range(3).write.parquet(f"{engine.warehouse}/odd")
+    with pytest.raises(ValueError, match="schema differs"):
+        engine.attach("events", f"{engine.warehouse}/odd")
+    ends = {r.partition: r.end for r in engine.partitions("events").collect()}
+    log.write.parquet(f"{engine.warehouse}/h1")
+    engine.attach("events", f"{engine.warehouse}/h1", ends)
+    more = events_log(spark, small).where("_kafka_offset >= 40 and _kafka_offset < 50")
+    engine.ingest("events", more, now_ms=2)
+    assert engine.load("events", "lake").count() == 160
+    engine.detach("events")
+    assert engine.load("events", "lake", as_of=2).count() == 160
+    assert engine.attach("events", f"{engine.warehouse}/h2") == 2
+    assert engine.snapshots("events").count() == 1 and keys(engine.load("events")) == keys(log.unionByName(more))
+    engine.remove_table("events", now_ms=10)
+    assert engine.purge(20) == [] and engine.purge(1 << 42) == ["events"] and engine.list_tables(None) == []

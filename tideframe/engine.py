@@ -1,10 +1,11 @@
 """The engine: log tables kept as Parquet under a warehouse, with snapshots, views, history and SQL.
 
 Layout of a table: ``{warehouse}/{topic}/data`` holds records partitioned by range and bucket, ``files``
-the files' metadata (one Parquet directory for each commit), ``snapshots/{id}.json`` the commits and
-``table.json`` the table's settings. A commit counts once its snapshot file exists; that file is
-created only if it is not there yet, so of two writers one has to try again. All paths go through
-Spark's file system layer.
+and ``sketches`` the files' metadata and distinct-count sketches (one Parquet directory for each commit),
+``snapshots/{id}.json`` the commits and ``table.json`` the table's settings. A commit counts once its
+snapshot file exists, which names the commit's metadata; that file is created only if it is not there
+yet, so of two writers one has to try again, and what a broken commit left behind is never read and
+collected later. All paths go through Spark's file system layer.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import types as T
 
 from tideframe.functions.buckets import bucket, bucket_ended
 from tideframe.operators import grouping, planning, pruning, stats, tiering
+from tideframe.operators.schema import Registry, widened
 from tideframe.operators.paths import tail_snapshot_id
+from tideframe.sources.decode import decoded
 from tideframe.sources.log import FIXED, browse, millis, offset_at, record_bytes
+from tideframe.streaming.ingest import follow, index_ends
 
 VIEWS = ("merged", "stream", "lake")
 
@@ -86,6 +90,11 @@ class Files:
         fs, path = self._path(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def modified(self, name: str) -> list[tuple[str, int]]:
+        """Name and time of change (ms) of what a folder holds."""
+        fs, path = self._path(name)
+        return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
     def delete(self, name: str) -> None:
         fs, path = self._path(name)
         fs.delete(path, True)
@@ -124,8 +133,16 @@ class Engine:
         found = [t for t in self.store.list("") if self.store.read(f"{t}/table.json") is not None]
         return [t for t in found if state is None or self.table(t)["state"] == state]
 
-    def remove_table(self, topic: str) -> None:
-        self._change(topic, state="removing")
+    def remove_table(self, topic: str, now_ms: int | None = None) -> None:
+        self._change(topic, state="removing", removed_ms=now_ms if now_ms is not None else int(time.time() * 1000))
+
+    def purge(self, now_ms: int) -> list[str]:
+        """Delete the tables that were removed longer ago than their collection grace."""
+        marked = [self.table(t) for t in self.list_tables("removing")]
+        gone = [t["topic"] for t in marked if t["removed_ms"] < now_ms - t["config"]["collection_grace_ms"]]
+        for topic in gone:
+            self.store.delete(topic)
+        return gone
 
     def refresh(self, topic: str, topic_id: str | None, partitions: int = 0) -> str:
         """The table's state after a look at its topic: no id is missing, another id is replaced, more
@@ -148,7 +165,10 @@ class Engine:
         return len(specs) - 1
 
     def attach(self, topic: str, location: str, ends: dict[int, int] | None = None) -> int:
-        """Attach a history table; ends are the offsets that it holds already, each a file boundary."""
+        """Attach a history table; ends are the offsets that it holds already, each a file boundary.
+
+        A history that holds data already must have the table's columns. Snapshots that read an earlier
+        history are forgotten first."""
         for other in self.list_tables(None):
             held = self.table(other)["history"]
             if held and (held["location"] + "/").startswith(location.rstrip("/") + "/") | (location.rstrip("/") + "/").startswith(held["location"] + "/"):
@@ -158,6 +178,21 @@ class Engine:
             bounds = {(r.partition, r.end) for r in self.files(topic).select("partition", "end").distinct().collect()}
             if not all(o == 0 or (int(p), o) in bounds for p, o in ends.items()):
                 raise ValueError("a history must end between files")
+        last = self._latest(topic)
+        if last:
+            try:
+                held = self.spark.read.parquet(location)
+            except AnalysisException:  # nothing is there yet
+                held = None
+            if held is not None:
+                by_name = lambda kind: T.StructType(sorted((f for f in kind if not f.name.startswith("_part_")), key=lambda f: f.name))
+                tiering.check_history(by_name(held.schema), by_name(self.load(topic, "stream", last["id"]).schema), 2, len(self.table(topic)["specs"]) - 1, 0)
+        earlier = [s["id"] for s in self._snapshots(topic) if s["history"]]
+        if earlier:
+            self._change(topic, history=None)
+            if earlier[-1] == last["id"]:
+                self._snapshot(topic, last["id"] + 1, last["offsets"], [], None)
+            self._forget(topic, [s["id"] for s in self._snapshots(topic) if s["id"] <= earlier[-1]])
         generation = self.table(topic)["generation"] + 1
         self._change(topic, history={"location": location.rstrip("/"), "ends": ends}, generation=generation)
         return generation
@@ -167,10 +202,13 @@ class Engine:
 
     # -- writing -----------------------------------------------------------------------------------
 
-    def ingest(self, topic: str, records: DataFrame, now_ms: int | None = None) -> int:
+    def ingest(self, topic: str, records: DataFrame, now_ms: int | None = None, stable: dict[int, int] | None = None, mark: dict | None = None) -> int:
         """Index records (the fixed columns, and more) and commit; returns the snapshot.
 
-        Records are cut into ranges by size and time span, and each range into files by bucket."""
+        Records are cut into ranges by size and time span, and each range into files by bucket. With
+        stable (offset by partition) a partition is indexed from its indexed end to there, so offsets
+        without a record belong to the ranges beside them; records before the indexed end are an error.
+        mark is kept with the snapshot."""
         t = self.table(topic)
         spec = len(t["specs"]) - 1
         grain = t["specs"][spec]
@@ -178,13 +216,54 @@ class Engine:
             {"partition": F.col("_kafka_partition"), "offset": F.col("_kafka_offset"), "ts_ms": millis(F.col("_kafka_timestamp")), "size": record_bytes()}
         ).withColumn("bucket", bucket(F.col("ts_ms"), grain))
         grouped = grouping.file_groups(rows, t["config"]["file_bytes"], t["config"]["file_window_ms"])
-        ranges = grouping.group_ranges(grouped).select("partition", "group", "start", "end")
+        ranges = grouping.group_ranges(grouped)
+        if stable is not None:
+            last = self._latest(topic)
+            ends = {int(p): e for p, (_, e) in last["offsets"].items()} if last else {}
+            bounds = index_ends(grouped, self.spark.createDataFrame(list(stable.items()), "partition int, stable long"))
+            early = [r for r in bounds.collect() if r.start < ends.get(r.partition, 0)]  # one row a log partition
+            if early:
+                raise ValueError(f"records before the indexed end: {early[0]}")
+            known = self.spark.createDataFrame([(p, ends.get(p), e) for p, e in stable.items()], "partition int, _from long, _stable long")
+            ranges = ranges.join(known, "partition", "left").withColumns({
+                "start": F.when(F.col("group") == 0, F.coalesce("_from", "start")).otherwise(F.col("start")), "end": F.when(F.col("last"), F.greatest("end", "_stable")).otherwise(F.col("end")),
+            })
+        ranges = ranges.select("partition", "group", "start", "end")
         # ranges are few; each record finds its own by partition and offset
         ranged = grouped.select("partition", "offset", "group").join(ranges, ["partition", "group"]).drop("group")
         placed = rows.join(ranged, ["partition", "offset"])
-        return self._commit(topic, placed, spec, [], now_ms)
-
-    def _commit(self, topic: str, placed: DataFrame, spec: int, replaced: list[str], now_ms: int | None, offsets: dict | None = None) -> int:
+        return self._commit(topic, placed, spec, [], now_ms, mark=mark)
+
+    def ingest_typed(self, topic: str, records: DataFrame, make, now_ms: int | None = None) -> int:
+        """Index records with their values decoded into columns; a value that does not decode stays in _kafka_value.
+
+        make() gives the decoder. Columns that later schemas add are null in earlier files; int and float
+        columns may widen to long and double, other changes of a column's type are an error."""
+        out = decoded(records, "_kafka_value", make)
+        fields = out.schema["decoded"].dataType.fieldNames()
+        if taken := set(fields) & {*records.columns, "raw"}:
+            raise ValueError(f"reserved column {sorted(taken)[0]!r}")
+        rest = [F.col(c) for c in records.columns if c != "_kafka_value"]
+        return self.ingest(topic, out.select(*rest, F.col("raw").alias("_kafka_value"), *[F.col(f"decoded.`{f}`") for f in fields]), now_ms)
+
+    def follow(self, topic: str, path: str, checkpoint: str, poll_ms: int | None = None, files_per_batch: int = 100):
+        """Index the log files (of the fixed columns) that arrive in a directory, one commit a batch.
+
+        Files must arrive in the order of their offsets: records behind the indexed end stop the stream with
+        an error. A batch that is repeated after a failure is known by its number and changes nothing."""
+
+        def index(records: DataFrame, batch: int) -> None:
+            last = self._latest(topic)
+            if last and last.get("mark") and last["mark"].get(checkpoint, -1) >= batch:
+                return
+            tops = records.groupBy("_kafka_partition").agg(F.max("_kafka_offset").alias("top")).collect()  # one row a log partition
+            if tops:
+                seen = (last.get("mark") if last else None) or {}
+                self.ingest(topic, records, stable={r["_kafka_partition"]: r.top + 1 for r in tops}, mark=seen | {checkpoint: batch})
+
+        return follow(self.spark, FIXED, path, checkpoint, index, poll_ms, files_per_batch)
+
+    def _commit(self, topic: str, placed: DataFrame, spec: int, replaced: list[str], now_ms: int | None, offsets: dict | None = None, mark: dict | None = None) -> int:
         """Write rows with partition, start, end, bucket, ts_ms and size as files of the next snapshot."""
         last = self._latest(topic)
         number = last["id"] + 1 if last else 1
@@ -194,14 +273,16 @@ class Engine:
         tidy = placed.repartition(*keys).sortWithinPartitions(*keys, "offset")
         tidy.withColumnRenamed("bucket", "bucket_no").withColumn("bucket", F.coalesce("bucket_no", F.lit(0))).drop("bucket_no", "offset").write.partitionBy("partition", "start", "end", "bucket").parquet(data)
         back = self.spark.read.parquet(data)
-        bounds, columns = stats.file_bounds(back.schema, {*FIXED.fieldNames(), "partition", "start", "end", "bucket", "ts_ms", "size"})
+        own = {"partition", "start", "end", "bucket", "ts_ms", "size"}
+        table = self.table(topic)
+        kept = widened(T.StructType.fromJson(table["schema"]) if table.get("schema") else T.StructType(), T.StructType([f for f in back.schema if f.name not in own]))
+        bounds, columns = stats.file_bounds(back.schema, {*FIXED.fieldNames(), *own})
         measured = back.groupBy("partition", "start", "end", "bucket").agg(
             F.count(F.lit(1)).alias("records"), F.sum("size").alias("bytes"), F.min("ts_ms").alias("first_ts_ms"), F.min("_kafka_offset").alias("lower_offset"),
             F.max("_kafka_offset").alias("upper_offset"), F.min("_kafka_timestamp").alias("lower_ts"), F.max("_kafka_timestamp").alias("upper_ts"), bounds.alias("bounds"),
         )
-        table = self.table(topic)
-        if columns.items() - table.get("columns", {}).items():
-            self._change(topic, columns=table.get("columns", {}) | columns)
+        if columns.items() - table.get("columns", {}).items() or kept.jsonValue() != table.get("schema"):
+            self._change(topic, columns=table.get("columns", {}) | columns, schema=kept.jsonValue())
         none = table["specs"][spec] == "none"
         where = F.concat(F.lit(f"{location}/partition="), "partition", F.lit("/start="), "start", F.lit("/end="), "end", F.lit("/bucket="), "bucket")
         rows = measured.withColumns({"location": where, "spec": F.lit(spec), "schema": F.lit(0), "added": F.lit(number), "replaced": F.lit(None)})
@@ -211,7 +292,12 @@ class Engine:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
         if not rows.limit(1).count():
             return last["id"] if last else 0
-        rows.coalesce(1).write.parquet(f"{self.warehouse}/{topic}/files/{number}")
+        name = f"{number}-{uuid.uuid4().hex}"
+        rows.coalesce(1).write.parquet(f"{self.warehouse}/{topic}/files/{name}")
+        if not replaced:  # what is put together was counted when it came
+            flat = [f.name for f in kept if f.name in back.columns and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+            day = F.col("_kafka_timestamp").cast("date")
+            stats.sketches(back, day, flat).coalesce(1).write.parquet(f"{self.warehouse}/{topic}/sketches/{name}")
         if offsets is None:
             found = rows.groupBy("partition").agg(F.min("start").alias("s"), F.max("end").alias("e")).collect()
             offsets = {p: list(x) for p, x in (last["offsets"] if last else {}).items()}
@@ -220,10 +306,10 @@ class Engine:
                 if held[1] not in (r.s, r.e) and held[0] != r.e:
                     raise ValueError(f"range {r.s}-{r.e} does not touch {held[0]}-{held[1]} of partition {r.partition}")
                 offsets[str(r.partition)] = [min(held[0], r.s), max(held[1], r.e)]
-        self._snapshot(topic, number, offsets, replaced, now_ms)
+        self._snapshot(topic, number, offsets, replaced, now_ms, [name], mark)
         return number
 
-    def _snapshot(self, topic: str, number: int, offsets: dict, replaced: list[str], now_ms: int | None) -> None:
+    def _snapshot(self, topic: str, number: int, offsets: dict, replaced: list[str], now_ms: int | None, files: list[str] | None = None, mark: dict | None = None) -> None:
         last = self._latest(topic)
         if last and number <= last["id"]:
             raise Conflict(f"snapshot {number}")
@@ -231,6 +317,7 @@ class Engine:
             raise ValueError("ends never move back and partitions never disappear")
         history = self.table(topic)["history"]
         body = {"id": number, "committed_ms": now_ms if now_ms is not None else int(time.time() * 1000), "offsets": offsets, "replaced": replaced, "history": history}
+        body |= {"files": files or [], "mark": mark or (last or {}).get("mark")}
         self.store.write(f"{topic}/snapshots/{number:020d}.json", json.dumps(body))
 
     # -- reading -----------------------------------------------------------------------------------
@@ -252,11 +339,12 @@ class Engine:
 
     def files(self, topic: str, partition: int | None = None, bucket_no: int | None = None) -> DataFrame:
         """All known files, each with the snapshot that replaced it, if one did."""
-        names = self.store.list(f"{topic}/files")
+        known = self._snapshots(topic)
+        names = [n for s in known for n in s["files"]]
         if not names:
             return self.spark.createDataFrame([], _FILE)
         out = self.spark.read.schema(_FILE).parquet(*[f"{self.warehouse}/{topic}/files/{n}" for n in names])
-        gone = [(loc, s["id"]) for s in self._snapshots(topic) for loc in s["replaced"]]
+        gone = [(loc, s["id"]) for s in known for loc in s["replaced"]]
         dropped = self.spark.createDataFrame(gone, "location string, _by long")
         out = out.join(dropped, "location", "left").withColumn("replaced", F.col("_by")).drop("_by")
         if partition is not None:
@@ -267,7 +355,8 @@ class Engine:
         places = [r.location for r in files.select("location").collect()]
         if not places:
             return None
-        return self.spark.read.parquet(*[f"{self.warehouse}/{p}" for p in places]).drop("ts_ms", "size", "partition", "start", "end", "bucket")
+        kept = T.StructType.fromJson(self.table(topic)["schema"])
+        return self.spark.read.schema(kept).parquet(*[f"{self.warehouse}/{p}" for p in places])
 
     def matching(self, topic: str, files: DataFrame, domains: dict) -> DataFrame:
         """The files whose bounds allow rows in all domains; a domain by _kafka_partition or any column of the table counts."""
@@ -397,6 +486,49 @@ class Engine:
     def column_stats(self, topic: str, mode: str = "truncate") -> DataFrame:
         return stats.column_stats(self.load(topic, "stream").drop("_kafka_headers"), ["_kafka_partition"], mode=mode)
 
+    def distinct_counts(self, topic: str) -> DataFrame:
+        """field and its estimated number of distinct values, from the sketches of days that the table still has."""
+        known = self._snapshots(topic)
+        held = set(self.store.list(f"{topic}/sketches"))
+        names = [n for s in known for n in s["files"] if n in held]
+        if not names:
+            return self.spark.createDataFrame([], "field string, ndv long")
+        first = planning.files_of(self.files(topic), self.offsets(topic), known[-1]["id"]).agg(F.min("first_ts_ms")).first()[0]
+        sketched = self.spark.read.parquet(*[f"{self.warehouse}/{topic}/sketches/{n}" for n in names])
+        return stats.distinct_counts(stats.trimmed(sketched, F.date_from_unix_date(F.lit((first or 0) // 86_400_000).cast("int"))))
+
+    def summary(self, topic: str, snapshot: int) -> DataFrame:
+        """What a snapshot added and deleted against the one before it, and its totals."""
+        ids = [s["id"] for s in self._snapshots(topic) if s["id"] <= snapshot]
+        if not ids or ids[-1] != snapshot:
+            raise KeyError(f"no snapshot {snapshot} of {topic}")
+        files, offsets = self.files(topic), self.offsets(topic)
+        before = planning.files_of(files, offsets, ids[-2]) if len(ids) > 1 else files.where("false")
+        return planning.commit_summary(before, planning.files_of(files, offsets, snapshot))
+
+    def manifests(self, topic: str) -> DataFrame:
+        """The latest snapshot's files by spec, bucket and commit: count and range of offsets."""
+        s = self._latest(topic)
+        return planning.manifests(planning.files_of(self.files(topic), self.offsets(topic), s["id"]) if s else self.files(topic))
+
+    # -- schemas -----------------------------------------------------------------------------------
+
+    def add_schema(self, schema_id: str, schema: T.StructType, subject: str | None = None, references: list[str] | None = None) -> None:
+        """Keep a schema with the warehouse; what is known of an id already does not change."""
+        name = f"_schemas/{schema_id}.json"
+        held = json.loads(self.store.read(name) or json.dumps({"id": schema_id, "schema": schema.jsonValue(), "references": references or [], "subjects": []}))
+        held["subjects"] = sorted({*held["subjects"], *([subject] if subject else [])})
+        self.store.write(name, json.dumps(held), True)
+
+    def registry(self) -> Registry:
+        """The schemas kept with the warehouse."""
+        out = Registry()
+        for n in self.store.list("_schemas"):
+            held = json.loads(self.store.read(f"_schemas/{n}"))
+            for subject in held["subjects"] or [None]:
+                out.add(held["id"], T.StructType.fromJson(held["schema"]), subject, held["references"])
+        return out
+
     # -- upkeep ------------------------------------------------------------------------------------
 
     def compact(self, topic: str, now_ms: int) -> int:
@@ -416,7 +548,11 @@ class Engine:
             rows = parts.select("location", "partition", "_s", "_e", "_b").collect()
             if not rows:
                 continue
-            data = self.spark.read.option("basePath", self.warehouse).parquet(*[f"{self.warehouse}/{r.location}" for r in rows])
+            kept = T.StructType([*T.StructType.fromJson(self.table(topic)["schema"]), T.StructField("ts_ms", T.LongType()), T.StructField("size", T.LongType())])
+            data = self.spark.read.schema(kept).parquet(*[f"{self.warehouse}/{r.location}" for r in rows])
+            # files of several commits share no base path, so their place is read from their names
+            of = lambda key: F.regexp_extract(F.col("_metadata.file_path"), f"/{key}=(-?\\d+)/", 1)
+            data = data.withColumns({"partition": of("partition").cast("int"), "start": of("start").cast("long"), "bucket": of("bucket").cast("int")})
             place = self.spark.createDataFrame([(r.partition, r["_b"], int(r.location.split("start=")[1].split("/")[0]), r["_s"], r["_e"]) for r in rows], "partition int, bucket int, start long, s long, e long").distinct()
             placed = data.withColumn("offset", F.col("_kafka_offset")).join(place, ["partition", "bucket", "start"]).drop("start", "end").withColumnsRenamed({"s": "start", "e": "end"})
             last = self._commit(topic, placed, spec, [r.location for r in rows], now_ms, s["offsets"])
@@ -426,23 +562,48 @@ class Engine:
         """Forget old snapshots; the latest always stays."""
         known = self.spark.createDataFrame(list((earliest or {}).items()), "partition int, earliest long")
         gone = planning.expired_snapshots(self.snapshots(topic), self.offsets(topic), now_ms, self.table(topic)["config"]["snapshot_retention_ms"], known)
-        ids = sorted(r.id for r in gone.collect())
+        return self._forget(topic, sorted(r.id for r in gone.collect()))
+
+    def _forget(self, topic: str, ids: list[int]) -> list[int]:
+        """Delete snapshots, oldest first; what they added and replaced is from then on stated by the first that stays."""
         for i in ids:
             body = json.loads(self.store.read(f"{topic}/snapshots/{i:020d}.json"))
-            if body["replaced"]:  # what a forgotten snapshot replaced stays replaced
+            if body["replaced"] or body["files"]:
                 first = next(s for s in self._snapshots(topic) if s["id"] not in ids)
                 first["replaced"] = sorted({*first["replaced"], *body["replaced"]})
+                first["files"] = sorted({*first["files"], *body["files"]})
                 self.store.write(f"{topic}/snapshots/{first['id']:020d}.json", json.dumps(first), True)
             self.store.delete(f"{topic}/snapshots/{i:020d}.json")
         return ids
 
-    def collect(self, topic: str) -> list[str]:
-        """Delete files that no snapshot reads."""
-        oldest = self.store.list(f"{topic}/snapshots")
-        if not oldest:
-            return []
-        first = json.loads(self.store.read(f"{topic}/snapshots/{oldest[0]}"))["id"]
-        gone = [r.location for r in self.files(topic).where(F.col("replaced") <= first).select("location").collect()]
+    def trim(self, topic: str, earliest: dict[int, int], now_ms: int | None = None) -> dict[int, int]:
+        """Move starts up to what the log still has (its earliest offset by partition), never inside a file; returns those moved."""
+        s = self._latest(topic)
+        files = planning.files_of(self.files(topic), self.offsets(topic), s["id"])
+        known = self.spark.createDataFrame(list(earliest.items()), "partition int, earliest long")
+        starts = {r.partition: r.start for r in planning.retained_starts(files, known).collect()}  # one row a log partition
+        moved = {p: n for p, n in starts.items() if n > s["offsets"][str(p)][0]}
+        if moved:
+            self._snapshot(topic, s["id"] + 1, {p: [moved.get(int(p), a), e] for p, (a, e) in s["offsets"].items()}, [], now_ms)
+        return moved
+
+    def collect(self, topic: str, now_ms: int | None = None) -> list[str]:
+        """Delete files that no snapshot reads, and what no commit names once it is older than the grace.
+
+        Starts only move up and snapshots are forgotten oldest first, so the oldest one left decides."""
+        known = self._snapshots(topic)
+        first = known[0] if known else {"id": 0, "offsets": {}}
+        files = self.files(topic)
+        before = reduce(lambda a, b: a | b, [(F.col("partition") == int(p)) & (F.col("start") < a) for p, (a, _) in first["offsets"].items()], F.lit(False))
+        unread = files.where((F.coalesce("replaced", F.lit(1 << 62)) <= first["id"]) | ((F.col("added") <= first["id"]) & before))
+        gone = [r.location for r in unread.select("location").collect()]
+        now = now_ms if now_ms is not None else int(time.time() * 1000)
+        listed = [(f"{topic}/{kind}/{n}", at) for kind in ("data", "files", "sketches") for n, at in self.store.modified(f"{topic}/{kind}")]
+        if listed:  # one folder a commit
+            named = [(f"{topic}/{kind}/{n}",) for s in known for n in s["files"] for kind in ("files", "sketches")]
+            referenced = files.select(F.substring_index("location", "/", topic.count("/") + 3).alias("path")).distinct().unionByName(self.spark.createDataFrame(named, "path string"))
+            unknown = planning.collectable(self.spark.createDataFrame(listed, "path string, modified_ms long"), referenced, now, self.table(topic)["config"]["collection_grace_ms"])
+            gone += [r.path for r in unknown.collect()]
         for place in gone:
             self.store.delete(place)
         return gone

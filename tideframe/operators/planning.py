@@ -49,6 +49,11 @@ def commit_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select(operation.alias("operation"), "*")
 
 
+def manifests(files: DataFrame) -> DataFrame:
+    """Files listed together, by spec, bucket and commit: spec, bucket, added, files, low, high."""
+    return files.groupBy("spec", "bucket", "added").agg(F.count(F.lit(1)).alias("files"), F.min("start").alias("low"), F.max("end").alias("high"))
+
+
 def assembly_runs(files: DataFrame, most_bytes: int, ended: Column) -> DataFrame:
     """Files to be put together: partition, spec, bucket, schema, run, start, end, files, records, bytes.
 

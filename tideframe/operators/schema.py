@@ -171,6 +171,19 @@ def read_versions(parts: list[DataFrame], schema: T.StructType) -> DataFrame:
     return out
 
 
+def widened(old: T.StructType, new: T.StructType) -> T.StructType:
+    """One schema for files of both, by name: new columns come last, and a type may only widen."""
+    wide = [(T.IntegerType(), T.LongType()), (T.FloatType(), T.DoubleType())]
+    out = {f.name: f for f in old}
+    for f in new:
+        held = out.get(f.name)
+        if held is None or (held.dataType, f.dataType) in wide:
+            out[f.name] = T.StructField(f.name, f.dataType, True, f.metadata)
+        elif held.dataType != f.dataType and (f.dataType, held.dataType) not in wide:
+            raise ValueError(f"column {f.name!r} changes from {held.dataType.simpleString()} to {f.dataType.simpleString()}")
+    return T.StructType(list(out.values()))
+
+
 class Registry:
     """Schemas by id. Under a subject's rule a schema counts for a topic only if registered for it."""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,15 +97,21 @@ def file_bounds(schema: T.StructType, without: set[str]) -> tuple[Column, dict[s
 
 
 def sketches(df: DataFrame, day: Column, columns: list[str]) -> DataFrame:
-    """day, field, sketch of distinct values; nulls and empty bytes are left out."""
-    def one(c: str) -> DataFrame:
+    """day, field, sketch of distinct values; nulls and empty bytes are left out.
+
+    One aggregation over the data; the fields are turned into rows behind it."""
+    def one(c: str) -> Column:
         kind = df.schema[c].dataType
-        value = F.when(F.octet_length(c) > 0, F.col(c)) if isinstance(kind, T.BinaryType) else F.col(c)
+        value = F.col(f"`{c}`")
+        if isinstance(kind, T.BinaryType):
+            value = F.when(F.octet_length(value) > 0, value)
         if isinstance(kind, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
             value = value.cast("string")
-        return df.where(value.isNotNull()).groupBy(day.alias("day")).agg(F.theta_sketch_agg(value, SKETCH_SIZE).alias("sketch")).select("day", F.lit(c).alias("field"), "sketch")
+        # a day without a value has no sketch
+        return F.when(F.count(value) > 0, F.struct(F.lit(c).alias("field"), F.theta_sketch_agg(value, SKETCH_SIZE).alias("sketch")))
 
-    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+    wide = df.groupBy(day.alias("day")).agg(*[one(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    return wide.select("day", F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("s")).where("s is not null").select("day", "s.*")
 
 
 def distinct_counts(sketched: DataFrame) -> DataFrame:

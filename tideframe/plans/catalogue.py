@@ -293,8 +293,7 @@ def merged_statistics(spark, d):
 
 @named(f"with {FILES} select bucket, added, count(*) as files, min(start) as low, max(\"end\") as high from files group by all")
 def manifests(spark, d):
-    f = demo.files(spark, d).groupBy("bucket", "added")
-    return f.agg(F.count(F.lit(1)).alias("files"), F.min("start").alias("low"), F.max("end").alias("high"))
+    return planning.manifests(demo.files(spark, d)).drop("spec")
 
 
 @named(f"""with {SNAPSHOTS}, now as (select max(committed_ms) as t from snapshots) select id from snapshots, now
@@ -687,18 +686,20 @@ ORACLES["decoded_json"] = f"with {LOG} select p, o, case when o % 5 <> 0 then js
 
 @named(f"with {LOG} select p, count(*) as n, min(o) as low, max(o) as high from log group by p")
 def stream_ingest_counts(spark, d):
-    """The log indexed by a structured stream, then counted; equal to the batch."""
+    """The log indexed into a table by a structured stream, then counted; equal to the batch."""
     import uuid
 
-    from tideframe.streaming.ingest import follow
+    from tideframe.engine import Engine
 
     root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams").rstrip("/") + "/" + uuid.uuid4().hex
-    log = demo.records(spark, d).select("p", "o")
-    log.repartition(3).write.parquet(f"{root}/in")
-    # a batch that is repeated after a failure overwrites its own folder
-    index = lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
-    follow(spark, log.schema, f"{root}/in", f"{root}/state", index, files_per_batch=1).awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("low"), F.max("o").alias("high"))
+    log = source.events_log(spark, d)
+    top = log.agg(F.max("_kafka_offset")).first()[0] + 1
+    for part in range(3):  # files arrive in the order of their offsets
+        log.where((F.col("_kafka_offset") >= top * part // 3) & (F.col("_kafka_offset") < top * (part + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    engine = Engine(spark, f"{root}/tables")
+    engine.add_table("events", 4, granularity="month", file_bytes=1 << 20, file_window_ms=400 * buckets.DAY_MS)
+    engine.follow("events", f"{root}/in", f"{root}/state", files_per_batch=1).awaitTermination()
+    return engine.load("events").groupBy(F.col("_kafka_partition").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("_kafka_offset").alias("low"), F.max("_kafka_offset").alias("high"))
 
 
 from tideframe.plans import tables  # noqa: E402, F401  registers the queries over stored tables
