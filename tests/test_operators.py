@@ -185,6 +185,17 @@ def test_schema_merge(spark):
     assert r.resolve("1", "t") == s1 and r.resolve("2", "t").reason == "not_accepted"
 
 
+def test_types_and_tables_widen_apart():
+    """One rule for a field's type and one for a table's columns, under names of their own."""
+    i, n, f, d, s = T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.StringType()
+    for old, new, want in ((i, n, n), (n, i, n), (f, d, d), (d, f, d), (i, i, i), (i, s, None), (n, d, None)):
+        assert schema.widened(old, new) == want
+    got = schema.widened_columns(T.StructType().add("a", i).add("b", d), T.StructType().add("c", s).add("b", f).add("a", n))
+    assert [(x.name, x.dataType) for x in got] == [("a", n), ("b", d), ("c", s)]
+    with pytest.raises(ValueError, match="changes from int to string"):
+        schema.widened_columns(T.StructType().add("a", i), T.StructType().add("a", s))
+
+
 def test_schemas_only_grow():
     rng = random.Random(4)
     kinds = [T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.StringType()]

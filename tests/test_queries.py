@@ -38,6 +38,19 @@ def test_query(spark, con, small, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_evolved_schema_read_keeps_odd_ids(spark, small, tmp_path):
+    """Null and negative ids, ids beyond an int and null columns: every row, as in the SQL."""
+    ids = ["event_id", "-event_id - 1", "null::bigint", "event_id + 3000000000", "-event_id - 3000000000"]
+    parts = [f"select * replace ({x} as event_id) from '{small}/events.parquet' where event_id < 12" for x in ids]
+    parts.append(f"select event_id + 100 as event_id, ts, null::bigint, null::varchar, null::double, null::varchar from '{small}/events.parquet' where event_id < 12")
+    c = duckdb.connect()
+    c.sql(f"copy ({' union all '.join(parts)}) to '{tmp_path}/events.parquet'")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = c.sql(ORACLES["evolved_schema_read"]).fetchall()
+    got = [tuple(r) for r in QUERIES["evolved_schema_read"](spark, str(tmp_path)).select("event_id", "id", "amount", "state", "legacy_s3", "legacy").collect()]
+    assert len(got) == 72 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -171,7 +171,7 @@ def read_versions(parts: list[DataFrame], schema: T.StructType) -> DataFrame:
     return out
 
 
-def widened(old: T.StructType, new: T.StructType) -> T.StructType:
+def widened_columns(old: T.StructType, new: T.StructType) -> T.StructType:
     """One schema for files of both, by name: new columns come last, and a type may only widen."""
     wide = [(T.IntegerType(), T.LongType()), (T.FloatType(), T.DoubleType())]
     out = {f.name: f for f in old}
