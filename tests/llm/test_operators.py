@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideframe.llm import blocksort, decontaminate, language, mixing, neardup, pages, quality, substrings, suffix_tree, tokens, toxicity
@@ -346,6 +348,34 @@ def test_repeated_substrings(spark, hot):
     assert substrings.report(frame(spark, [])).count() == 0
 
 
+def test_repeats_across_pieces(spark):
+    rng = random.Random(81)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2 * substrings.PIECE + 5000))
+    cut = substrings.PIECE
+    rows = [(1, long), (2, "x" + long[cut - 3000 : cut + 3000]), (3, long[7:cut] + "y" + long[cut + 50 : cut + 149]), (4, long[cut - 99 : cut + 1])]
+    want = brute_cut(rows)
+    assert sorted(tuple(r) for r in substrings.report(frame(spark, rows)).collect()) == [(i, *want[i, t]) for i, t in rows]
+
+
+def test_repeats_take_little_memory():
+    class Frame:
+        def mapInArrow(self, function, schema):
+            return function
+
+    rng = random.Random(82)
+    word = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)]
+    texts = [" ".join(rng.choices(word, k=n)) for n in [250] * 1000 + [250_000]]  # 2 MB in short texts, 2 MB in one
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "text"])
+    find = substrings._rows(Frame(), False)
+    sizes = []
+    tracemalloc.start()
+    sizes += [b.num_rows for b in find(iter([batch]))]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert max(sizes) <= 20_000 and sum(sizes) > 90_000
+    assert most < 80 << 20, most
+
+
 def test_block_sorting_orders_like_bytes():
     c = blocksort.COVER
     assert {(a - b) % blocksort.PERIOD for a in c for b in c} == set(range(blocksort.PERIOD))

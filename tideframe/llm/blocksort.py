@@ -28,7 +28,8 @@ def _words(data: np.ndarray) -> np.ndarray:
     padded = np.concatenate((data, np.zeros(LENGTH + 2 * PERIOD, np.uint8)))
     out = np.zeros(len(padded) - 7, np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(out)]
+        out <<= np.uint64(8)
+        out |= padded[k : k + len(out)]
     return out
 
 

@@ -34,12 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideframe.llm.blocksort import LENGTH, PERIOD, Block
-from tideframe.llm.common import POWERS, arrow_map, by_bytes, joined, mix64, prefix_hash, range_hash, stored, table, text_bytes
+from tideframe.llm.common import POWERS, by_bytes, joined, lean, mix64, prefix_hash, range_hash, stored, table, text_bytes
 
 ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1
 HOT = 16_384
-BLOCK_BYTES = 3 << 20
+#: Bytes whose anchors are found at once, and whose windows are sorted at once: numpy's temporaries take a hundred and
+#: fifty times as much at the most. A group of one anchor string is never split, whatever its bytes.
+PIECE = (1 << 18) - 1
+BLOCK_BYTES = 1 << 20
+OUT_ROWS = 20_000
 _PLACE_BITS = np.uint64(23)
 _LAST = (1 << 63) - 1
 
@@ -48,7 +52,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Anchor hash, surroundings hash, text number, first window, further windows, and the anchor's
     distance from its first window, for each anchor of each text."""
     none = np.zeros(0, np.int64)
-    if max(map(len, texts), default=0) >= 1 << int(_PLACE_BITS):
+    if max(map(len, texts), default=0) > PIECE:
         return _long_anchors(texts)
     data, bounds = joined(texts)
     if len(data) < LENGTH:
@@ -78,8 +82,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _long_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """anchors() of texts beyond 8 MB, cut in overlapping pieces with the windows of one piece each."""
-    step = (1 << int(_PLACE_BITS)) - LENGTH
+    """anchors() of texts beyond a piece, cut in overlapping pieces with the windows of one piece each."""
+    step = PIECE - LENGTH + 1
     found = []
     for i, t in enumerate(texts):
         for a in range(0, max(len(t) - LENGTH + 1, 1), step):
@@ -88,6 +92,19 @@ def _long_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _by_batch(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """df with function applied to each Arrow batch; what it gives goes to the executor ``OUT_ROWS`` rows at a time."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                out = function(batch)
+                for k in range(0, out.num_rows, OUT_ROWS):
+                    yield out.slice(k, OUT_ROWS)
+
+    return df.mapInArrow(lean(run), schema)
+
+
 def _packed(lo, more, near) -> np.ndarray:
     return (lo.astype(np.int64) << 16) | (more << 8) | near
 
@@ -100,10 +117,12 @@ def _rows(docs: DataFrame, twice: bool) -> DataFrame:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         subs = np.array([int.from_bytes(hashlib.md5(t).digest()[:7]) if twice else 0 for t in texts], np.int64)
         found = []
-        for a, b in by_bytes(texts):
+        for a, b in by_bytes(texts, PIECE):
             code, around, owner, lo, more, near = anchors(texts[a:b])
             found.append((code, around, ids[owner + a], subs[owner + a], _packed(lo, more, near)))
+        del texts
         code, around, doc, sub, place = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.lexsort((place, sub, doc, around, code))
         code, around, doc, sub, place = (x[order] for x in (code, around, doc, sub, place))
         same = np.zeros(len(code), bool)
@@ -117,7 +136,7 @@ def _rows(docs: DataFrame, twice: bool) -> DataFrame:
         arrays = [(~same)[keep], code[keep].view(np.int64), around[keep].view(np.int64), doc[keep], sub[keep], place[keep]]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["fresh", "code", "around", "doc", "sub", "place"])
 
-    return arrow_map(docs, find, "fresh boolean, code long, around long, doc long, sub long, place long")
+    return _by_batch(docs, find, "fresh boolean, code long, around long, doc long, sub long, place long")
 
 
 def _stream(batches):
@@ -185,15 +204,15 @@ def _windows(docs: DataFrame, leaders: DataFrame, hot: int) -> DataFrame:
                     lo = p >> 16
                     for column, x in zip(lists, (code[k], n[k], doc[i], subs[i], p, t[lo : lo + ((p >> 8) & 255) + LENGTH])):
                         column.append(x)
-                if len(lists[0]) > 20_000:
+                if len(lists[0]) >= OUT_ROWS:
                     yield _cut_rows(lists)
                     lists = [[] for _ in range(6)]
             yield _cut_rows(lists)
 
-    rows = held.mapInArrow(cut, "code long, n long, doc long, sub long, place long, bytes binary")
+    rows = held.mapInArrow(lean(cut), "code long, n long, doc long, sub long, place long, bytes binary")
     rows = stored(rows)
     few = rows.where(F.col("n") <= hot).repartition("code").sortWithinPartitions("code", "doc", "sub", "place")
-    out = few.mapInArrow(_resolve, "doc long, sub long, lo long, hi long")
+    out = few.mapInArrow(lean(_resolve), "doc long, sub long, lo long, hi long")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists: list[list] = [[] for _ in range(4)]
@@ -207,7 +226,7 @@ def _windows(docs: DataFrame, leaders: DataFrame, hot: int) -> DataFrame:
 
     many = rows.where(F.col("n") > hot)
     if many.limit(1).count():
-        each_window = stored(arrow_map(many, each, "key binary, doc long, sub long, at long"))
+        each_window = stored(_by_batch(many, each, "key binary, doc long, sub long, at long"))
         earliest = each_window.groupBy("key").agg(F.min(F.struct("doc", "sub", "at")).alias("e"))
         later = each_window.join(earliest, "key").where(F.struct("doc", "sub", "at") > F.col("e"))
         out = out.unionByName(later.select("doc", "sub", F.col("at").alias("lo"), F.col("at").alias("hi")))
@@ -307,7 +326,7 @@ def _ranges(few: DataFrame, hot: int) -> tuple[DataFrame, bool]:
     ids = few.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc").limit(1).count()
     twice = bool(ids)
     rows = _rows(few, twice).repartition("code").sortWithinPartitions("code", "around", "doc", "sub", "place")
-    settled = stored(rows.mapInArrow(_stream, "leader boolean, code long, doc long, sub long, place long"))
+    settled = stored(rows.mapInArrow(lean(_stream), "leader boolean, code long, doc long, sub long, place long"))
     leaders = settled.where("leader").drop("leader")
     several = leaders.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = settled.where("not leader").select(
@@ -364,7 +383,7 @@ def _cut_all(rows: DataFrame, found: DataFrame, twice: bool, function, schema: T
             done.append(cut_out(t, lo[a:b], hi[a:b]) if b > a else cut_out(t, none, none))
         return pa.RecordBatch.from_arrays([batch.column(2), *function(texts, done)], names)
 
-    return arrow_map(both, run, schema)
+    return _by_batch(both, run, schema)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
