@@ -628,3 +628,44 @@ def test_suffix_tree_is_a_distribution(spark):
         some = codes | np.uint64(int.from_bytes(b"~" * cut + bytes(6 - cut)))
         log, left = tree.lookup(some)
         assert not left.any() and abs((10**log).sum() - 1) < 1e-5
+
+
+def test_suffix_tree_across_pieces(spark, monkeypatch):
+    rng = random.Random(36)
+    train = [(i, prose(rng, rng.randint(5, 60))) for i in range(60)]
+    texts = [(t or "").encode() for _, t in ODD] + [prose(rng, 400).encode(), b"", b"", b"unseen zebra", prose(rng, 90).encode()]
+    want, _ = brute_tree_score(texts, [t.encode() for _, t in train])
+    tables = suffix_tree.levels(suffix_tree.count_runs(frame(spark, train)))
+    for held in (10**6, 200):
+        tree, _ = suffix_tree.held_part(tables, held)
+        whole = tree.scores(texts)
+        assert len(list(suffix_tree._runs(texts))) == 1
+        for piece in (1, 7, 64, 1000):  # shorter than a lead, a word, a text, longer than most
+            monkeypatch.setattr(suffix_tree, "PIECE", piece)
+            cut = tree.scores(texts)
+            assert len(list(suffix_tree._runs(texts))) > 3 and np.allclose(cut[0], whole[0])
+            for i in range(len(texts)):
+                of = [Counter(), Counter()]
+                for c, (_, starts, codes, n) in zip(of, (whole, cut)):
+                    for k in range(starts[i], starts[i + 1]):
+                        c[int(codes[k])] += int(n[k])
+                assert of[0] == of[1]
+        monkeypatch.undo()
+        if held > 200:
+            assert np.allclose(whole[0], want, rtol=1e-5, atol=1e-4) and not len(whole[2])
+        else:
+            assert len(whole[2]) > 100
+
+
+def test_suffix_tree_takes_little_memory():
+    rng = random.Random(37)
+    word = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)]
+    texts = [" ".join(rng.choices(word, k=n)).encode() for n in [250] * 500 + [250_000]]  # 1 MB in short texts, 2 MB in one
+    codes = np.array([c << 48 | 97 for c in range(2)], np.uint64)
+    every = np.full(1 << (suffix_tree.REST_BITS - 3), 255, np.uint8)  # no context is decided in the worker
+    tree = suffix_tree.Tree(codes >> np.uint64(8), np.zeros(2, np.float32), codes, np.zeros(2, np.float32), every)
+    tracemalloc.start()
+    tree.scores(texts)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 100 << 20, most

@@ -24,6 +24,7 @@ V are 0, every base score is 0 and the tree is the uniform distribution. Other c
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from tideframe.llm.common import arrow_map, by_bytes, discard, mix64, remainder, stored, table, text_bytes
+from tideframe.llm.common import by_bytes, discard, lean, mix64, remainder, stored, table, text_bytes
 
 DEPTH = 5
 LEAST_COUNT = 2
@@ -48,6 +49,8 @@ REST_BITS = 25
 FREQUENT_WORDS = 65_536
 #: Distinct runs that a task holds before it hands them on.
 HELD_RUNS = 1_000_000
+#: Bytes whose runs are looked at at once: numpy's temporaries take up to a hundred times as much.
+PIECE = 1 << 18
 END = 10
 _MASK = [(1 << (8 * (k + 1))) - 1 for k in range(DEPTH + 1)]
 
@@ -57,43 +60,76 @@ def symbols(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
 
-def _runs(texts: list[bytes]) -> np.ndarray:
-    """The code of each byte with the DEPTH bytes before it; line feeds stand before a text."""
-    lead = bytes([END]) * DEPTH
-    data = np.frombuffer(b"".join(lead + symbols(t) for t in texts), np.uint8)
-    sizes = np.array([DEPTH + len(symbols(t)) for t in texts])
-    code = np.zeros(len(data) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        code = (code << np.uint64(8)) | data[k : k + len(code)]
+def _codes(parts: list[bytes]) -> np.ndarray:
+    """The code of each byte of the parts with the DEPTH bytes before it; a part's first DEPTH bytes have none."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    code = data[: len(data) - DEPTH].astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        code <<= np.uint64(8)
+        code |= data[k : k + len(code)]
     inside = np.ones(len(data), bool)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
     for k in range(DEPTH):
         inside[starts + k] = False
     return code[inside[DEPTH:]]
 
 
+def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The code of each byte of the texts with the DEPTH bytes before it, and the number of its text, in pieces of
+    about ``PIECE`` bytes at most, whatever a text's length; line feeds stand before a text."""
+    lead = bytes([END]) * DEPTH
+    parts: list[bytes] = []
+    owner: list[int] = []
+    size = 0
+
+    def piece():
+        return _codes(parts), np.repeat(owner, [len(p) - DEPTH for p in parts])
+
+    for i, t in enumerate(texts):
+        t = lead + symbols(t)
+        for a in range(0, len(t) - DEPTH, PIECE):
+            part = t[a : a + PIECE + DEPTH]
+            if size and size + len(part) > PIECE:
+                yield piece()
+                parts, owner, size = [], [], 0
+            parts.append(part)
+            owner.append(i)
+            size += len(part)
+    if parts:
+        yield piece()
+
+
+def _summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sum of each one's counts."""
+    codes, n = (np.concatenate(x) for x in zip(*pairs))
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def count_runs(docs: DataFrame) -> DataFrame:
     """run, n over all docs(text): codes of DEPTH + 1 bytes."""
 
     def count(batches):
-        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, more = none, []
 
         def rows(codes, n):
-            for i in range(0, len(codes), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 500_000].view(np.int64)), pa.array(n[i : i + 500_000])], ["run", "n"])
+            for i in range(0, len(codes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["run", "n"])
 
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in by_bytes(texts):
-                codes, n = np.unique(_runs(texts[a:b]), return_counts=True)
-                codes, where = np.unique(np.concatenate((held[0], codes)), return_inverse=True)
-                held = codes, np.bincount(where, np.concatenate((held[1], n))).astype(np.int64)
-                if len(held[0]) > HELD_RUNS:
-                    yield from rows(*held)
-                    held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield from rows(*held)
+            for codes, _ in _runs(text_bytes(batch.column(0))):
+                more.append(np.unique(codes, return_counts=True))
+                if sum(len(x) for x, _ in more) > HELD_RUNS // 2:
+                    held, more = _summed([held, *more]), []
+                    if len(held[0]) > HELD_RUNS:
+                        yield from rows(*held)
+                        held = none
+        yield from rows(*_summed([held, *more]))
 
-    return docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(count), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def levels(runs: DataFrame) -> list[DataFrame]:
@@ -134,10 +170,14 @@ class Tree:
     log: np.ndarray
     rest: np.ndarray | None
 
+    def _others(self, context: np.ndarray) -> np.ndarray:
+        """Which contexts the map of the others has; it stays packed."""
+        place = _places(context)
+        return (self.rest[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).view(bool)
+
     def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of the last byte of each code of DEPTH + 1 bytes, and which codes are not decided here."""
         out, open_ = np.zeros(len(codes)), np.zeros(len(codes), bool)
-        rest = None if self.rest is None else np.unpackbits(self.rest).view(bool)
         at, fresh = np.arange(len(codes)), np.ones(len(codes), bool)
         for k in range(DEPTH, -1, -1):
             run = codes[at] & np.uint64(_MASK[k])
@@ -146,10 +186,11 @@ class Tree:
             place = np.minimum(np.searchsorted(self.contexts, context), max(len(self.contexts) - 1, 0))
             hit = self.contexts[place] == context if len(self.contexts) else np.zeros(len(at), bool)
             go_on = np.ones(len(at), bool)
-            if rest is not None and k:
-                doubt = ~hit & fresh[at] & rest[_places(context)]
+            if self.rest is not None and k:
+                doubt = np.flatnonzero(~hit & fresh[at])
+                doubt = doubt[self._others(context[doubt])]
                 open_[at[doubt]] = True
-                go_on &= ~doubt
+                go_on[doubt] = False
             some = np.flatnonzero(hit)
             if len(some):
                 fresh[at[some]] = False
@@ -163,19 +204,22 @@ class Tree:
         out[at] -= np.log10(256)
         return out, open_
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """log10 probability of each text as far as it is decided here, and the codes (with counts) that are not."""
-        codes, place = np.unique(_runs(texts), return_inverse=True)
-        log, open_ = self.lookup(codes)
-        owner = np.repeat(np.arange(len(texts)), [len(symbols(t)) for t in texts])
-        log[open_] = 0
-        left: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if open_.any():
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text as far as it is decided here; where each text's undecided codes start (and the last
+        ones end), and these codes and their counts."""
+        total = np.zeros(len(texts))
+        left = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for codes, owner in _runs(texts):
+            codes, place = np.unique(codes, return_inverse=True)
+            log, open_ = self.lookup(codes)
+            log[open_] = 0
+            total += np.bincount(owner, log[place], len(texts))
             some = open_[place]
-            pairs, n = np.unique(owner[some] * len(codes) + place[some], return_counts=True)
-            for i, c, m in zip((pairs // len(codes)).tolist(), codes[pairs % len(codes)].tolist(), n.tolist()):
-                left[i].append((c, m))
-        return np.bincount(owner, log[place], len(texts)), left
+            if some.any():
+                pairs, n = np.unique(owner[some] * len(codes) + place[some], return_counts=True)
+                left.append((pairs // len(codes), codes[pairs % len(codes)], n))
+        owner, codes, n = (np.concatenate(x) for x in zip(*left))
+        return total, np.searchsorted(owner, np.arange(len(texts) + 1)), codes, n
 
 
 def held_part(tables: list[DataFrame], limit: int) -> tuple[Tree, int]:
@@ -202,10 +246,9 @@ def held_part(tables: list[DataFrame], limit: int) -> tuple[Tree, int]:
         contexts.append(context[new]), back.append(of[order][new])
     rest = None
     if least > 1:
-        rest = np.zeros(1 << REST_BITS, bool)
+        rest = np.zeros(1 << (REST_BITS - 3), np.uint8)
         for k, t in enumerate(tables[1:], 1):
-            rest |= np.unpackbits(_rest_map(t.where(f"back is not null and m < {least}").select("context"), k)).view(bool)
-        rest = np.packbits(rest)
+            rest |= _rest_map(t.where(f"back is not null and m < {least}").select("context"), k)
     return Tree(*(np.concatenate(x) for x in (contexts, back, runs, log)), rest), least
 
 
@@ -233,7 +276,7 @@ def _rest_map(contexts: DataFrame, k: int) -> np.ndarray:
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["place", "bits"])
 
-    rows = contexts.mapInArrow(mark, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = contexts.mapInArrow(lean(mark), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (REST_BITS - 6), np.int64)
     out[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
@@ -253,16 +296,27 @@ def resolved(codes: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return out.select("code", F.when(F.col("found"), F.col("log")).otherwise(F.col("log") - float(np.log10(256))).alias("log"))
 
 
+def _strings(words) -> pa.Array:
+    return pa.array(list(words), pa.binary()).cast(pa.string())
+
+
+def _lists(starts, **columns: pa.Array) -> pa.Array:
+    """A list of structs for each row, null where empty; row k has what stands at starts[k]:starts[k + 1]."""
+    values = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values, mask=pa.array(np.diff(starts) == 0))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c over all docs(text)."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n: Counter[bytes] = Counter()
-        for t in text_bytes(batch.column(0)):
-            n.update(t.lower().split())
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+    def count(batches):
+        for batch in batches:
+            n: Counter[bytes] = Counter()
+            for t in text_bytes(batch.column(0)):
+                n.update(t.lower().split())
+            yield pa.RecordBatch.from_arrays([_strings(n), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    return arrow_map(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = HELD_ENTRIES) -> DataFrame:
@@ -275,39 +329,44 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     ends = learned.count()
     n_all, v_all = int(running or 0) + ends, int(size) + (ends > 0)
     most = vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).toPandas()
-    common = dict(zip((w.encode() for w in most["word"]), most["c"].tolist()))
+    logs = {w.encode(): float(np.log10(c + 1)) for w, c in zip(most["word"], most["c"].tolist())}
+    end = float(np.log10(ends + 1))
     tables = levels(count_runs(learned))
     tree, least = held_part(tables, held)
     rare_kind, open_kind = "array<struct<word:string,n:bigint>>", "array<struct<code:bigint,n:bigint>>"
-    pairs = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])), pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
+    # a worker loads a broadcast once; what a function holds is loaded for each task, beside its pickled form
+    shared = docs.sparkSession.sparkContext.broadcast((tree, logs))
+    del tree, logs
 
     def read(batches):
-        logs = {w: float(np.log10(c + 1)) for w, c in common.items()}
-        end = float(np.log10(ends + 1))
+        tree, logs = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            total, known, part, rare = [], [], [], []
-            for t in texts:
-                words = t.lower().split()
-                near = [x for x in map(logs.get, words) if x is not None]
-                total.append(len(words) + 1)
-                known.append(len(near) + (ends > 0))
-                part.append(float(sum(near)) + end)
-                rare.append([(w.decode(), n) for w, n in Counter(w for w in words if w not in logs).items()] if len(near) < len(words) else None)
-            scores, left = [], []
-            for a, b in by_bytes(texts):
-                x, y = tree.scores(texts[a:b])
-                scores.append(x)
-                left += [z or None for z in y]
-            keys = np.arange(row, row + len(texts))
-            row += len(texts)
-            arrays = [batch.column(0).cast(arrow), pa.array(keys), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(part), pa.array(np.concatenate([*scores, np.zeros(0)]))]
-            arrays += [pa.array([r and [{"word": w, "n": n} for w, n in r] for r in rare], pairs[0]), pa.array([r and [{"code": c, "n": n} for c, n in r] for r in left], pairs[1])]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "known", "part", "score", "rare", "open"])
+            all_texts = text_bytes(batch.column(1))
+            for a, b in by_bytes(all_texts):
+                texts = all_texts[a:b]
+                total, known, part, starts = [], [], [], [0]
+                rare, rare_n = [], []
+                for t in texts:
+                    words = t.lower().split()
+                    near = [x for x in map(logs.get, words) if x is not None]
+                    total.append(len(words) + 1)
+                    known.append(len(near) + (ends > 0))
+                    part.append(float(sum(near)) + end)
+                    if len(near) < len(words):
+                        others = Counter(w for w in words if w not in logs)
+                        rare += others
+                        rare_n += others.values()
+                    starts.append(len(rare))
+                scores, open_starts, codes, n = tree.scores(texts)
+                arrays = [batch.column(0).slice(a, b - a).cast(arrow), pa.array(np.arange(row, row + len(texts))), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(part), pa.array(scores)]
+                arrays += [_lists(starts, word=_strings(rare), n=pa.array(rare_n, pa.int64())), _lists(open_starts, code=pa.array(codes.view(np.int64)), n=pa.array(n))]
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "known", "part", "score", "rare", "open"])
 
     # written once, so that a row's number is the same for all that reads it
-    rows = stored(few.mapInArrow(read, f"doc_id {kind}, row long, n_tokens long, known long, part double, score double, rare {rare_kind}, open {open_kind}"))
+    rows = stored(few.mapInArrow(lean(read), f"doc_id {kind}, row long, n_tokens long, known long, part double, score double, rare {rare_kind}, open {open_kind}"))
+    shared.destroy()
     rare = rows.where("rare is not null").select("row", F.inline("rare")).join(vocabulary, "word")
     more = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rest"))
     out = rows.drop("rare", "open").join(more, "row", "left")
