@@ -2,6 +2,7 @@
 import pytest
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideframe.engine import Conflict, Engine
 from tideframe.functions.placement import share
@@ -278,3 +279,18 @@ def test_registry_histories_and_removal(engine, spark, small):
     assert engine.snapshots("events").count() == 1 and keys(engine.load("events")) == keys(log.unionByName(more))
     engine.remove_table("events", now_ms=10)
     assert engine.purge(20) == [] and engine.purge(1 << 42) == ["events"] and engine.list_tables(None) == []
+
+
+def test_numbered_in_ranges(spark, small, tmp_path, monkeypatch):
+    """Places in a sorted order, counted range by range: those of one window over all rows, and no task reads a whole partition."""
+    from tideframe.plans import tables
+
+    monkeypatch.setattr(tables, "_RANGE_ROWS", 500)
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").withColumn("k", F.pmod("l_orderkey", F.lit(2)))
+    order = [F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    got = tables._numbered(rows, str(tmp_path / "n"), "k", order)
+    want = rows.withColumn("_kafka_offset", (F.row_number().over(Window.partitionBy("k").orderBy(*order)) - 1).cast("long"))
+    some = lambda df: sorted(map(tuple, df.select("k", "_kafka_offset", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").collect()))
+    assert some(got) == some(want)
+    most = spark.read.parquet(str(tmp_path / "n")).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert most < rows.count() // 4
