@@ -96,6 +96,46 @@ def test_file_groups(spark):
     assert pieces.agg(F.sum("records")).first()[0] == 900
 
 
+@pytest.mark.parametrize("case", ["rising", "late", "none", "some null"])
+def test_file_ranges(spark, case):
+    """Ranges as cut by hand, whatever the buckets; stretches between rising buckets do not meet in one task."""
+    rng = random.Random(case)
+    rows, want = [], []
+    for p in range(2):
+        own, ts = [], 0
+        for o in range(600):
+            ts += rng.randrange(0, 60) if case == "rising" else rng.randrange(-400, 440) if rng.random() < 0.1 else rng.randrange(0, 50)
+            b = None if case == "none" or case == "some null" and rng.random() < 0.2 else ts // 1000
+            own.append((ts, rng.randrange(1, 50), b))
+        if case == "some null":
+            own = [x if x[2] is None else (*x[:2], 0) for x in own]
+        numbers = groups_of([(t, z, -(1 << 40) if b is None else b) for t, z, b in own], 700, 900) if case != "some null" else [g for g in _one_by_one(own, 700, 900)]
+        starts = [3 * numbers.index(g) for g in range(numbers[-1] + 1)]
+        want += [(p, g, s, e, g == numbers[-1]) for g, (s, e) in enumerate(zip(starts, [*starts[1:], 3 * 599 + 1]))]
+        rows += [(p, 3 * o, *x) for o, x in enumerate(own)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "partition int, offset long, ts_ms long, size long, bucket int").repartition(5)
+    assert sorted(grouping.file_ranges(df, 700, 900)) == want
+    some = grouping.in_ranges(df, [(p, s, e, g) for p, g, s, e, _ in want], "no long")
+    assert some.count() == len(rows)
+    if case == "rising":
+        buckets_met = len({(r[0], r[4]) for r in rows})
+        assert len(grouping._stretches(df, 700, 900)) == buckets_met  # a task folded a whole partition before
+        assert grouping.file_groups(df, 1 << 40, 1 << 40).select("partition", "group").distinct().count() == buckets_met
+
+
+def _one_by_one(rows, most, window):
+    g = grouping.Grouper(most, window)
+    return [g.add(*r) for r in rows]
+
+
+def test_whole_stretches_are_not_folded(spark, monkeypatch):
+    """Where nothing can end a group within a bucket, no record is read again."""
+    df = spark.createDataFrame([(p, o, o * 10, 5, o // 100) for p in range(2) for o in range(500)], "partition int, offset long, ts_ms long, size long, bucket int")
+    monkeypatch.setattr(grouping, "_folded", None)
+    assert grouping.file_ranges(df, 1000, 2000) == [(p, g, g * 100, g * 100 + 100, g == 4) for p in range(2) for g in range(5)]
+
+
 def test_read_committed(spark):
     rng = random.Random(3)
     batches, aborted, markers, want = [], [], [], set()

@@ -24,12 +24,6 @@ def follow(spark: SparkSession, schema, path: str, checkpoint: str, index: Calla
     return (writer.trigger(processingTime=f"{poll_ms} milliseconds") if poll_ms else writer.trigger(availableNow=True)).start()
 
 
-def index_ends(records: DataFrame, stable: DataFrame) -> DataFrame:
-    """partition, start, end of a read: a read ends where the log is stable, so gaps belong to what is before them."""
-    first = records.groupBy("partition").agg(F.min("offset").alias("start"))
-    return first.join(stable.select("partition", F.col("stable").alias("end")), "partition")
-
-
 def backfill_chunks(start: int, target: int, size: int = BACKFILL_OFFSETS) -> Iterator[tuple[int, int]]:
     """Offset ranges below start down to target, newest first."""
     end = start
