@@ -281,6 +281,29 @@ def test_registry_histories_and_removal(engine, spark, small):
     assert engine.purge(20) == [] and engine.purge(1 << 42) == ["events"] and engine.list_tables(None) == []
 
 
+def test_commit_spreads_a_large_file(engine, spark, small):
+    """The rows of one file are written by several tasks once they are many, its sketches too; nothing is lost."""
+    log = events_log(spark, small)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    small_parts = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in small_parts}
+    engine.add_table("events", 4, granularity="month", file_window_ms=400 * DAY)
+    try:
+        for k, v in small_parts.items():
+            spark.conf.set(k, v)
+        engine.ingest("events", log.repartition(8), now_ms=1)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == split
+    files = engine.files("events").collect()
+    assert len(files) == 4 and sum(f.records for f in files) == 1000
+    parts = [n for f in files for n in engine.store.list(f.location) if n.endswith(".parquet")]
+    assert len(parts) > 8
+    assert len([n for n in engine.store.list("events/sketches/" + engine.store.list("events/sketches")[0]) if n.endswith(".parquet")]) > 1
+    assert keys(engine.load("events")) == keys(log)
+
+
 def test_numbered_in_ranges(spark, small, tmp_path, monkeypatch):
     """Places in a sorted order, counted range by range: those of one window over all rows, and no task reads a whole partition."""
     from tideframe.plans import tables
