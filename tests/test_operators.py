@@ -455,3 +455,58 @@ def test_value_rendering(spark):
     df = spark.createDataFrame([(b"ok", b"\xff\x00", 5, {"a": 1})], "b binary, x binary, n long, m map<string,int>")
     r = df.select(*[render.rendered(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]).first()
     assert tuple(r) == ("ok", "/wA=", "5", '{"a":1}')
+
+
+def test_snapshot_totals_by_intervals(spark):
+    """Totals as counted by hand over every file and snapshot, with starts that turn, gaps and files of one key; no such pair is built."""
+    rng = random.Random(11)
+    snaps, offs, files = [], [], []
+    for t in (1, 2):
+        ids = sorted(rng.sample(range(1, 60), 25))
+        snaps += [(t, i) for i in ids]
+        for p in range(3):
+            start, end = 40, 50
+            for i in [*ids, 77]:  # no snapshot is 77
+                start, end = max(0, start + rng.choice([0, 0, 0, 8, -8])), end + rng.choice([0, 6])
+                if rng.random() < 0.9:
+                    offs.append((t, i, p, start, end))
+            for _ in range(120):
+                a, n = rng.randrange(0, 120, 4), rng.choice([4, 8])
+                added = rng.randrange(0, 60)
+                files.append((t, p, a, a + n, rng.choice([1, 2]), rng.randrange(1, 9), added, added + rng.randrange(1, 30) if rng.random() < 0.6 else None))
+    covering = {(t, i, p): (a, e) for t, i, p, a, e in offs}
+    want, before = set(), {}
+    for t, i in snaps:
+        h = [f for f in files if f[0] == t and (t, i, f[1]) in covering and covering[t, i, f[1]][0] <= f[2] and f[3] <= covering[t, i, f[1]][1] and f[6] <= i < (f[7] or 99)]
+        last, held = before.get(t, (None, set()))
+        if h:
+            want.add((t, i, last, len(h), sum(f[5] for f in h), sum(f[:5] not in held for f in h)))
+        before[t] = (i, {f[:5] for f in h})
+    got = control.snapshot_totals(
+        spark.createDataFrame(snaps, "topic_id int, id int"), spark.createDataFrame(offs, "topic_id int, id int, partition int, start long, end long"),
+        spark.createDataFrame(files, "topic_id int, partition int, start long, end long, bucket int, records long, added int, replaced long"),
+    )
+    assert got.columns == ["topic_id", "id", "previous", "files", "records", "new_files"]
+    assert len(want) > 40 and {tuple(r) for r in got.collect()} == want
+
+
+def test_snapshot_totals_pairs_no_files_with_snapshots(spark):
+    n = 300
+    files = spark.range(n).selectExpr("1 as topic_id", "0 as partition", "id * 10 as start", "id * 10 + 10 as end", "0 as bucket", "1L as records", "id + 1 as added", "cast(null as long) as replaced")
+    snaps = spark.range(1, n + 1).selectExpr("1 as topic_id", "id")
+    out = control.snapshot_totals(snaps, snaps.selectExpr("topic_id", "id", "0 as partition", "0L as start", "id * 10 as end"), files)
+    plan = out._jdf.queryExecution()
+    assert plan.toRdd().count() == n
+    most, todo = 0, [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if "Join" in kind:
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < most <= 3 * n  # 45,150 pairs before

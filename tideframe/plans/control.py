@@ -21,20 +21,67 @@ def live_files(files: DataFrame, partition: int, start: int, end: int) -> DataFr
 
 
 def snapshot_totals(snapshots: DataFrame, offsets: DataFrame, files: DataFrame) -> DataFrame:
-    """id, previous id, files, records, and how many files the snapshot added over the one before."""
-    previous = F.lag("id").over(Window.partitionBy("topic_id").orderBy("id"))
-    s = snapshots.select("topic_id", "id", previous.alias("previous"))
-    o = offsets.select("topic_id", "id", "partition", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    f = files.join(o, ["topic_id", "partition"]).where(covers(F.col("_s"), F.col("_e"), F.col("start"), F.col("end")))
-    f = f.where((F.coalesce("replaced", F.lit(1 << 62)) > F.col("id")) & (F.col("added") <= F.col("id")))
-    # the last snapshot before this one that held the same file
-    one = Window.partitionBy("topic_id", "partition", "start", "end", "bucket").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
-    held = f.select("topic_id", "id", "records", F.max("id").over(one).alias("_had"))
-    counts = held.groupBy("topic_id", "id", F.coalesce("_had", F.lit(-1)).alias("_had")).agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records"))
-    return s.join(counts, ["topic_id", "id"]).groupBy("topic_id", "id", "previous").agg(
-        F.sum("n").alias("files"), F.sum("records").alias("records"),
-        F.sum(F.when(F.col("_had") == F.col("previous"), 0).otherwise(F.col("n"))).alias("new_files"),
+    """id, previous id, files, records, and how many files the snapshot added over the one before.
+
+    Each file is held by one interval of snapshots in each run of _runs, so files and snapshots are not paired:
+    an interval adds at its first snapshot and takes away behind its last one."""
+    by_id = Window.partitionBy("topic_id").orderBy("id")
+    s = snapshots.select("topic_id", "id", F.lag("id").over(by_id).alias("previous"), F.row_number().over(by_id).alias("k"))
+    key = ["topic_id", "partition", "start", "end", "bucket"]
+    life = ["topic_id", "partition", "start", "end", "added", "replaced"]
+    f = files.withColumn("replaced", F.coalesce("replaced", F.lit(1 << 62)))
+    spans = _held(f.select(*life).distinct(), _runs(offsets, s))
+    held = f.join(spans, life).select(*key, "records", "low", "high")
+    # new is what no file of its key was held for in the snapshot before
+    earlier = Window.partitionBy(*key).orderBy("low").rangeBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("new", (F.coalesce(F.max("high").over(earlier), F.lit(-1)) < F.col("low") - 1).cast("long"))
+    one = F.lit(1).cast("long")
+    steps = held.select("topic_id", F.explode(F.array(
+        F.struct(F.col("low").alias("k"), one.alias("files"), F.col("records").alias("records"), F.col("new").alias("new")),
+        F.struct((F.col("high") + 1).alias("k"), (-one).alias("files"), (-F.col("records")).alias("records"), F.lit(0).cast("long").alias("new")),
+    )).alias("s")).groupBy("topic_id", "s.k").agg(*[F.sum(f"s.{c}").alias(c) for c in ("files", "records", "new")])
+    so_far = Window.partitionBy("topic_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = s.join(steps, ["topic_id", "k"], "left").select(
+        "topic_id", "id", "previous", F.sum("files").over(so_far).alias("files"), F.sum("records").over(so_far).alias("records"), F.coalesce("new", F.lit(0)).alias("new_files")
     )
+    return totals.where("files > 0")
+
+
+def _runs(offsets: DataFrame, s: DataFrame) -> DataFrame:
+    """offsets with the snapshot's place (k) and the number of its run: successive snapshots of a partition
+    whose ends do not fall and whose starts do not turn; up says whether the run's starts rise."""
+    o = offsets.join(s.select("topic_id", "id", "k"), ["topic_id", "id"])
+    w = Window.partitionBy("topic_id", "partition").orderBy("k")
+    moved = F.signum(F.col("start") - F.lag("start").over(w))
+    o = o.withColumn("_way", F.when(moved != 0, moved))
+    way = F.last("_way", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = (F.col("end") < F.lag("end").over(w)) | (F.col("k") != F.lag("k").over(w) + 1) | (F.col("_way") != way)
+    o = o.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("run", F.sum("_cut").over(w))
+    # the first snapshot of a run may have moved the other way: only moves inside the run count
+    inside = F.max(F.when(F.col("_cut") == 0, F.col("_way"))).over(Window.partitionBy("topic_id", "partition", "run"))
+    return o.select("topic_id", "partition", "run", "id", "k", "start", "end", (F.coalesce(inside, F.lit(1.0)) > 0).alias("up"))
+
+
+def _held(life: DataFrame, o: DataFrame) -> DataFrame:
+    """life(topic_id, partition, start, end, added, replaced) with low and high of each interval of snapshots (k) that holds it.
+
+    Bounds are looked up by one pass over a run's snapshots and the files' bounds, in the order of each."""
+    run = ["topic_id", "partition", "run"]
+    runs = o.groupBy(*run).agg(F.min("k").alias("_first"), F.max("k").alias("_last"), F.any_value("up").alias("up"))
+    none = F.lit(None)
+    points = o.select(*run, "start", "end", F.col("id").alias("added"), F.col("id").alias("replaced"), "k", none.cast("int").alias("_first"), none.cast("int").alias("_last"), "up")
+    both = life.join(runs, ["topic_id", "partition"]).withColumn("k", none.cast("int")).select(*points.columns).unionByName(points)
+    over = lambda c, to: Window.partitionBy(*run).orderBy(c).rangeBetween(Window.unboundedPreceding, to)
+    both = both.withColumns({
+        "_from_end": F.min("k").over(over(F.desc("end"), Window.currentRow)), "_from_added": F.min("k").over(over(F.desc("added"), Window.currentRow)),
+        "_to_replaced": F.max("k").over(over(F.col("replaced"), -1)), "_from_start": F.min("k").over(over(F.col("start"), Window.currentRow)),
+        "_to_start": F.max("k").over(over(F.col("start"), Window.currentRow)),
+    })
+    found = both.where("_first is not null and _from_end is not null and _from_added is not null and _to_replaced is not null and _from_start is not null")
+    low = F.greatest("_from_end", "_from_added", "_first", F.when(~F.col("up"), F.col("_from_start")))
+    high = F.least("_to_replaced", "_last", F.when(F.col("up"), F.col("_to_start")))
+    found = found.withColumns({"low": low, "high": high}).where("low <= high")
+    return found.select("topic_id", "partition", "start", "end", "added", "replaced", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
 
 
 def trimmed_files(files: DataFrame, ranges: DataFrame) -> DataFrame:
