@@ -317,3 +317,20 @@ def test_numbered_in_ranges(spark, small, tmp_path, monkeypatch):
     assert some(got) == some(want)
     most = spark.read.parquet(str(tmp_path / "n")).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert most < rows.count() // 4
+
+
+def test_stream_input_is_written_by_every_task(spark, small, tmp_path, monkeypatch):
+    """Each third of the log is written as it is read, not by one task, and is one commit; nothing is lost."""
+    from tideframe.plans.catalogue import QUERIES
+
+    spark.read.parquet(f"{small}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    found, real = [], Engine.follow
+
+    def follow(self, topic, path, *rest, **more):
+        found.append(len(spark.read.parquet(path).inputFiles()))
+        return real(self, topic, path, *rest, **more)
+
+    monkeypatch.setattr(Engine, "follow", follow)
+    got = QUERIES["stream_ingest_counts"](spark, str(tmp_path))
+    assert found == [4, 8, 12]  # three files in all before
+    assert sorted(tuple(r) for r in got.collect()) == [(p, 250, 0, 249) for p in range(4)]
